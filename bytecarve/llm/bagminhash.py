@@ -13,8 +13,10 @@ each component is its hash: two documents agree on it with probability equal to
 Jaccard similarity. Points are drawn in order of time and only up to a horizon, which is pushed
 out for documents that have components without a point.
 
-Signatures are banded (20 bands of 4: a pair at similarity 0.8 meets with probability 0.99997);
-every pair that is used is verified on the exact multisets.
+Signatures are banded (20 bands of 4: a pair at similarity 0.8 meets with probability 0.99997). Members of
+a bucket whose signatures agree on CUT components or more (a pair at 0.8 does but for one case in
+ten million) are linked into groups of candidates; inside a group the exact multiset overlaps are accumulated
+over posting lists of the shingles, and links at the threshold are united.
 """
 
 from __future__ import annotations
@@ -29,14 +31,18 @@ from pyspark.sql import functions as F
 
 from . import textnp as T
 from .components import components
-from .shared import limit_arrow, materialise, work_dir
+from .shared import limit_arrow, materialise, partitions_for, work_dir
 
 U64 = np.uint64
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 4
-#: Members of a band bucket with several components up to which all its cross pairs are compared at once.
-SMALL_BUCKET = 32
+#: Equal signature bytes, of BANDS * ROWS, from which two members of a bucket are candidates.
+CUT = 45
+#: Members up to which a bucket's signatures are compared; a larger bucket is one group as it stands.
+BUCKET = 2048
+#: Members of a group that are verified together; a larger group is verified by all pairs of such blocks.
+BLOCK = 1024
 _STREAM = U64(0xD1B54A32D192ED03)
 _STEP = U64(0x9E3779B97F4A7C15)
 
@@ -136,12 +142,16 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b = buf[off[i] : off[j]]
             g, d, w = multisets(b, o)
             n = j - i
-            keys = band_keys(signatures(g, d, w, n)).astype(np.int64)
+            sig = signatures(g, d, w, n)
+            keys = band_keys(sig).astype(np.int64)
             full = np.bincount(d, minlength=n) > 0
             raw = b.tobytes()
             text_key = [hashlib.md5(raw[o[k] : o[k + 1]]).digest() if full[k] else None for k in range(n)]
+            low = np.ascontiguousarray(T.mix(np.ascontiguousarray(sig).view(U64)).astype(np.uint8)[full])
+            width = BANDS * ROWS
+            sigs = pa.Array.from_buffers(pa.binary(), n, [pa.py_buffer(np.packbits(full, bitorder="little").tobytes()), pa.py_buffer((np.concatenate([[0], np.cumsum(full)]) * width).astype(np.int32).tobytes()), pa.py_buffer(low.tobytes())])
             bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(full, BANDS, 0))]), pa.int32()), pa.array(keys[full].ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, n).cast(pa.int64()), pa.array(text_key, pa.binary()), bands], ["doc_id", "text_key", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, n).cast(pa.int64()), pa.array(text_key, pa.binary()), bands, sigs], ["doc_id", "text_key", "bands", "sig"])
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -164,22 +174,140 @@ def _bags(column) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _verify(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = _bags(batch.column("text_a")), _bags(batch.column("text_b"))
-            sims = np.array([similarity(x, y) for x, y in zip(left, right)], dtype=float)
-            keep = pa.array(sims >= threshold)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(sims).filter(keep)], ["a", "b", "similarity"])
+class Sets:
+    """Disjoint sets of 0..n-1."""
 
-    return run
+    def __init__(self, n: int) -> None:
+        self.up = list(range(n))
+        self.count = n
+
+    def find(self, k: int) -> int:
+        while self.up[k] != k:
+            self.up[k] = k = self.up[self.up[k]]
+        return k
 
+    def unite(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        if a == b:
+            return False
+        self.up[max(a, b)] = min(a, b)
+        self.count -= 1
+        return True
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of representatives that reach ``threshold`` on their exact multisets."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify(threshold), "a long, b long, similarity double")
+
+def links(bags: list[tuple[np.ndarray, np.ndarray]], threshold: float) -> list[tuple[int, int]]:
+    """A spanning forest of the graph of all pairs of ``bags`` at ``threshold`` or more.
+
+    Each bag in turn accumulates its exact overlap with every later one over the shingles' posting lists,
+    until all are connected.
+    """
+    n = len(bags)
+    owner = np.repeat(np.arange(n), [len(g) for g, _ in bags])
+    g = np.concatenate([g for g, _ in bags])
+    w = np.concatenate([w for _, w in bags])
+    order = np.argsort(g, kind="stable")
+    gs, owners, ws = g[order], owner[order], w[order]
+    end = np.searchsorted(gs, g, side="right")
+    place = np.empty(len(g), np.int64)
+    place[order] = np.arange(len(g))
+    total = np.bincount(owner, weights=w, minlength=n)
+    cut = np.concatenate([[0], np.cumsum([len(x) for x, _ in bags])])
+    sets, out = Sets(n), []
+    for k in range(n - 1):
+        if sets.count == 1:
+            break
+        mine = slice(cut[k], cut[k + 1])
+        size = end[mine] - place[mine] - 1
+        if not size.any():
+            continue
+        begin = np.cumsum(size) - size
+        at = np.arange(int(size.sum())) + np.repeat(place[mine] + 1 - begin, size)
+        both = np.bincount(owners[at], weights=np.minimum(ws[at], np.repeat(w[mine], size)), minlength=n)
+        near = np.flatnonzero((both > 0) & (both >= threshold * (total + total[k] - both) - 1e-9))
+        out += [(k, int(j)) for j in near if sets.unite(k, int(j))]
+    return out
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables that hold all rows of each of their keys, over a sorted stream."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = pa.Table.from_batches([batch])
+        rest = now if rest is None else pa.concat_tables([rest, now])
+        last = np.ones(batch.num_rows, bool)
+        for k in keys:
+            column = np.asarray(batch.column(k))
+            last &= column == column[-1]
+        same = batch.num_rows - int(np.argmin(last[::-1])) if not last.all() else 0
+        if same or not last.all():
+            cut = rest.num_rows - (batch.num_rows - same)
+            yield rest.slice(0, cut)
+            rest = rest.slice(cut)
+    if rest is not None:
+        yield rest
+
+
+def _firsts(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Row numbers at which a new key begins, and the number of rows."""
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for k in keys:
+        column = np.asarray(table.column(k))
+        new[1:] |= column[1:] != column[:-1]
+    return np.append(np.flatnonzero(new), table.num_rows)
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) that connect the members of each bucket whose signatures are close."""
+    keys = ["band", "key"]
+    for table in _runs(batches, keys):
+        first = _firsts(table, keys)
+        rep = np.asarray(table.column("rep"))
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(rep), -1)
+        size = np.diff(first)
+        head = np.repeat(first[:-1], size)
+        close = (sig == sig[head]).sum(1) >= CUT
+        a, b = [rep[head][close]], [rep[close]]
+        stray = np.flatnonzero(np.bincount(np.repeat(np.arange(len(size)), size), weights=~close) > 0)
+        for k in stray[size[stray] > 2]:
+            # from the rows that are not near the first one, spread to whatever is close
+            rows = np.arange(first[k], first[k + 1])
+            waiting = rows[1:] if close[rows].sum() > 1 else rows[~close[rows]]
+            reached = np.zeros(len(rows), bool)
+            for row in rows[~close[rows]]:
+                if reached[row - rows[0]]:
+                    continue
+                stack = [row]
+                reached[row - rows[0]] = True
+                while stack:
+                    now = stack.pop()
+                    open_ = waiting[~reached[waiting - rows[0]]]
+                    near = open_[(sig[open_] == sig[now]).sum(1) >= CUT]
+                    if len(near):
+                        reached[near - rows[0]] = True
+                        stack += near.tolist()
+                        a.append(np.full(len(near), rep[now]))
+                        b.append(rep[near])
+        left, right = np.concatenate(a), np.concatenate(b)
+        yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right)], ["a", "b"])
+
+
+def _linked(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = ["root", "i", "j"]
+        for table in _runs(batches, keys):
+            first = _firsts(table, keys)
+            rep = np.asarray(table.column("rep"))
+            a, b = [], []
+            for s, e in zip(first[:-1], first[1:]):
+                for x, y in links(_bags(table.column("text").slice(s, e - s)), threshold):
+                    a.append(rep[s + x])
+                    b.append(rep[s + y])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
 
 
 def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -192,43 +320,48 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataF
     doc_id joins only the class of an equal text. Repeated rows are rows of the same class, and
     their ids count once for each row in class_size. An empty table gives an empty result.
 
-    Equal texts are collapsed before banding. In each bucket the members are compared with its
-    least one (a star, not all pairs); the components so found are contracted, and only members of
-    different components in one bucket are compared further, so that no link is lost by the star.
-    Buckets of over SMALL_BUCKET members then meet on a second band as well.
+    Equal texts are collapsed before banding, so copies are not compared. A bucket emits at most as many links as it
+    has members, never its pairs; a group ships each member's text once (a group of over BLOCK members, once
+    for each other block), and emits a spanning forest of its links.
     """
     spark = documents.sparkSession
     limit_arrow(spark)
+    n = partitions_for(spark)
     base = work_dir(spark, "near")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = materialise(texts.mapInArrow(_sign, "doc_id long, text_key binary, bands array<long>"), f"{base}/signed")
+    signed = materialise(texts.mapInArrow(_sign, "doc_id long, text_key binary, bands array<long>, sig binary"), f"{base}/signed")
 
-    same = signed.where("text_key is not null").groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
-    same = materialise(same, f"{base}/same")
-    banded = same.where("rep is not null").select("rep", F.posexplode("bands").alias("band", "key"))
+    same = signed.where("text_key is not null").groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first(F.struct("bands", "sig")).alias("s"))
+    same = materialise(same.select("text_key", "rep", "copies", "s.bands", "s.sig"), f"{base}/same")
+    banded = same.where("rep is not null").select("rep", "sig", F.posexplode("bands").alias("band", "key"))
     buckets = banded.groupBy("band", "key").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    stars = banded.join(buckets, ["band", "key"]).where("rep > a").select("a", F.col("rep").alias("b")).distinct()
-    edges = materialise(_verified(stars, texts, threshold).select("a", "b").distinct(), f"{base}/stars")
+    buckets = materialise(buckets, f"{base}/buckets")
+    met = banded.join(buckets, ["band", "key"])
+    small = met.where(F.col("n") <= BUCKET).select("band", "key", "rep", "sig").repartition(n, "band", "key").sortWithinPartitions("band", "key", "rep")
+    candidates = small.mapInArrow(_candidates, "a long, b long").where("a <> b")
+    candidates = candidates.unionByName(met.where((F.col("n") > BUCKET) & (F.col("rep") > F.col("a"))).select("a", F.col("rep").alias("b")))
+    group = components(materialise(candidates.distinct(), f"{base}/candidates"))
+    group = group.unionByName(group.select(F.col("root").alias("node"), "root").distinct())
+
+    # blocks of a group: one unit for each pair of blocks, a single unit for a small group
+    sizes = group.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    member = group.join(sizes, "root").select("node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    member = materialise(member, f"{base}/members")
+    keyed = same.where("rep is not null").select("text_key", "rep").join(member, F.col("rep") == F.col("node"))
+    found = _texts(texts, keyed)
+    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block"))))
+    units = found.select("root", "rep", "text", "block", other.alias("other")).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "text")
+    units = units.repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j", "rep")
+    edges = materialise(units.mapInArrow(_linked(threshold), "a long, b long"), f"{base}/edges")
     root = components(edges)
 
-    # members of different components that still share a bucket
-    labelled = banded.join(buckets.select("band", "key", "n"), ["band", "key"]).join(root, banded.rep == root.node, "left").select("band", "key", "n", "rep", F.coalesce("root", "rep").alias("root"))
-    mixed = labelled.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("n").alias("n")).where("low < high").select("band", "key")
-    mixed = materialise(labelled.join(mixed, ["band", "key"], "left_semi"), f"{base}/mixed")
-    few = mixed.where(F.col("n") <= SMALL_BUCKET).select("band", "key", F.lit(-1).alias("band2"), F.lit(0).cast("long").alias("key2"), "rep", "root")
-    many = mixed.where(F.col("n") > SMALL_BUCKET)
-    second = banded.select("rep", F.col("band").alias("band2"), F.col("key").alias("key2"))
-    many = many.join(second, "rep").where("band2 > band").select("band", "key", "band2", "key2", "rep", "root")
-    meet = few.unionByName(many)
-    on = ["band", "key", "band2", "key2"]
-    left, right = meet.select(*on, F.col("rep").alias("a"), F.col("root").alias("root_a")), meet.select(*on, F.col("rep").alias("b"), F.col("root").alias("root_b"))
-    cross = left.join(right, on).where("a < b and root_a <> root_b").select("a", "b").distinct()
-    cross = cross.join(stars, ["a", "b"], "left_anti")
-    more = materialise(_verified(cross, texts, threshold).select("a", "b").distinct(), f"{base}/more")
-    if more.limit(1).count():
-        root = components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-
     classes = same.join(root, same.rep == root.node, "left").select("text_key", F.coalesce("root", "rep").alias("class_id"), "copies")
     sizes = classes.where("class_id is not null").groupBy("class_id").agg(F.sum("copies").alias("class_size"))
     classes = classes.join(sizes, "class_id", "left").select("text_key", "class_id", F.coalesce("class_size", "copies").alias("class_size"))
     return signed.select("doc_id", "text_key").join(classes, "text_key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+
+
+def _texts(texts: DataFrame, keyed: DataFrame) -> DataFrame:
+    """The members of groups with their texts; a repeated row of one gives it twice, which changes no link."""
+    with_key = texts.withColumn("md5", F.unhex(F.md5(F.col("text").cast("binary"))))
+    return with_key.join(keyed, (F.col("doc_id") == F.col("rep")) & (F.col("md5") == F.col("text_key"))).select("rep", "root", "blocks", "block", "text")
