@@ -364,4 +364,5 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataF
 def _texts(texts: DataFrame, keyed: DataFrame) -> DataFrame:
     """The members of groups with their texts; a repeated row of one gives it twice, which changes no link."""
     with_key = texts.withColumn("md5", F.unhex(F.md5(F.col("text").cast("binary"))))
-    return with_key.join(keyed, (F.col("doc_id") == F.col("rep")) & (F.col("md5") == F.col("text_key"))).select("rep", "root", "blocks", "block", "text")
+    # always a shuffle of the texts: the members grow with the corpus, so a broadcast would hold at small sizes only
+    return with_key.join(keyed.hint("merge"), (F.col("doc_id") == F.col("rep")) & (F.col("md5") == F.col("text_key"))).select("rep", "root", "blocks", "block", "text")
