@@ -20,7 +20,7 @@ LABELS = "labels"
 def _keep(docs: DataFrame, verdict: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose doc_id is in ``verdict`` (doc_id, distinct), null like any other id."""
     verdict = verdict.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(verdict, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(*COLUMNS)
+    return docs.join(verdict.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(*COLUMNS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: a document stands as often as the mix takes it (documents without words once)."""
     drawn = mixing.mix(docs).select(F.col("doc_id").alias("__id"), F.when(F.col("size") > 0, F.col("copies")).otherwise(1).alias("copies"))
     drawn = drawn.groupBy("__id").agg(F.max("copies").alias("copies"))
-    out = docs.join(drawn, F.col("doc_id").eqNullSafe(F.col("__id")))
+    out = docs.join(drawn.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")))
     return out.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
