@@ -332,12 +332,14 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataF
     signed = materialise(texts.mapInArrow(_sign, "doc_id long, text_key binary, bands array<long>, sig binary"), f"{base}/signed")
 
     same = signed.where("text_key is not null").groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first(F.struct("bands", "sig")).alias("s"))
-    same = materialise(same.select("text_key", "rep", "copies", "s.bands", "s.sig"), f"{base}/same")
-    banded = same.where("rep is not null").select("rep", "sig", F.posexplode("bands").alias("band", "key"))
+    same = same.select("text_key", "rep", "copies", "s.bands", "s.sig", F.monotonically_increasing_id().alias("uid"))
+    same = materialise(same, f"{base}/same")
+    banded = same.where("rep is not null").select("uid", "rep", F.posexplode("bands").alias("band", "key"))
     buckets = banded.groupBy("band", "key").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = materialise(buckets, f"{base}/buckets")
-    met = banded.join(buckets, ["band", "key"])
-    small = met.where(F.col("n") <= BUCKET).select("band", "key", "rep", "sig").repartition(n, "band", "key").sortWithinPartitions("band", "key", "rep")
+    # by a shuffle at every size, since both sides grow with the corpus; signatures go only where a bucket is shared
+    met = materialise(banded.join(buckets.hint("merge"), ["band", "key"]), f"{base}/met")
+    small = met.where(F.col("n") <= BUCKET).join(same.select("uid", "sig").hint("merge"), "uid").select("band", "key", "rep", "sig").repartition(n, "band", "key").sortWithinPartitions("band", "key", "rep")
     candidates = small.mapInArrow(_candidates, "a long, b long").where("a <> b")
     candidates = candidates.unionByName(met.where((F.col("n") > BUCKET) & (F.col("rep") > F.col("a"))).select("a", F.col("rep").alias("b")))
     group = components(materialise(candidates.distinct(), f"{base}/candidates"))
