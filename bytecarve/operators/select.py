@@ -7,6 +7,9 @@ task holds a whole source; both ways give the same rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,24 +47,33 @@ def _running(df: DataFrame, value: Column, name: str, order: list[Column], place
     return cut(df.withColumn(name, best("__i", "__w")).drop("__v", "__b", "__i", "__w"))
 
 
+def _folded(candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """Serial selection inside each of ``keys``, over the sorted stream of a partition: one number is held, not a group."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, free = None, -1
+        for rows in batches:
+            keep = np.zeros(len(rows), bool)
+            for k, (now, offset, size, sure) in enumerate(zip(zip(*(rows[c] for c in keys)), rows.offset, rows["size"], rows.validated)):
+                if now != key:
+                    key, free = now, -1
+                if offset >= free:
+                    keep[k] = True
+                    if sure:
+                        free = offset + size
+            yield rows[keep]
+
+    return candidates.repartition(*keys).sortWithinPartitions(*keys, "ord", "offset").mapInPandas(run, candidates.schema)
+
+
 def skip_ahead(candidates: DataFrame) -> DataFrame:
     """Keep candidates in order of ``ord``; after a validated one, drop those that start before its end.
 
     Rows fall into islands that no earlier validated end reaches into; islands of one row need no fold.
     """
-    columns = candidates.columns
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ord", "offset"])
-        free, keep = -1, []
-        for offset, size, sure in zip(rows.offset, rows["size"], rows.validated):
-            keep.append(offset >= free)
-            if keep[-1] and sure:
-                free = offset + size
-        return rows[keep][columns]
-
     if _small(candidates):
-        return candidates.groupBy(*KEY).applyInPandas(fold, candidates.schema)
+        return _folded(candidates, KEY)
+    columns = candidates.columns
     end = F.when(F.col("validated"), F.col("offset") + F.col("size"))
     order = [F.col("ord"), F.col("offset")]
     df = _running(candidates, end, "__reach", order, "ord")
@@ -71,7 +83,7 @@ def skip_ahead(candidates: DataFrame) -> DataFrame:
     df = df.withColumn("island", F.coalesce("__head", "__before"))
     sizes = df.groupBy(*KEY, "island").agg(F.count(F.lit(1)).alias("__n"))
     df = df.drop("__reach", "__low", "__head", "__before").join(sizes, [*KEY, "island"])
-    many = df.where("__n > 1").groupBy(*KEY, "island").applyInPandas(fold, candidates.schema)
+    many = _folded(df.where("__n > 1").select(*columns, "island"), [*KEY, "island"]).select(*columns)
     return df.where("__n = 1").select(*columns).unionByName(many)
 
 

@@ -77,7 +77,17 @@ def test_matcher_is_leftmost_longest_without_overlap():
     parts = [x for s in SIGNATURES.values() for x in s.magics]
     for _ in range(200):
         buf = b"".join(rng.choice(parts)[: rng.randint(1, 16)] for _ in range(30))
-        assert list(m.matches(buf)) == [(x.start(), x.group()) for x in m.pattern.finditer(buf)]
+        for m.STRIDE in (1, 7, 16, 1 << 18):
+            assert list(m.matches(buf)) == [(x.start(), x.group()) for x in m.pattern.finditer(buf)]
+
+
+def test_property_list_ends_at_the_last_trailer():
+    one = S.plist()
+    assert walk("plist", one + bytes(300)) == (len(one), "plist", True)
+    assert walk("plist", one + b"\x01" * 90) == (len(one), "plist", True)
+    assert walk("plist", one + one)[0] == len(one)
+    assert walk("plist", one[:-1]) is None
+    assert walk("plist", b"bplist00" + bytes(5000)) is None
 
 
 def test_names_and_sizes():
