@@ -21,6 +21,8 @@ from .shared import limit_arrow
 
 #: Bounds of the training sample.
 FIT_DOCS, FIT_WINDOWS = 300, 6
+#: Documents of a language, as a multiple of FIT_DOCS, among which the least hashes are sought.
+OVERDRAW = 4
 WINDOW, HIDDEN, STEPS, BATCH, RATE = 64, 8, 260, 192, 0.02
 #: Windows that one numpy step advances.
 SIDE_BY_SIDE = 2048
@@ -168,15 +170,26 @@ def label(net: Network, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     return total / np.maximum(np.diff(off), 1)[:, None]
 
 
-def _sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        out = []
-        for doc_id, lang, text in zip(batch.doc_id, batch.lang, batch.text):
-            raw = text.encode()
-            for k in range(FIT_WINDOWS):
-                at = k * max(0, len(raw) - WINDOW) // max(1, FIT_WINDOWS - 1)
-                out.append((doc_id, lang, raw[at : at + WINDOW].ljust(WINDOW, b"\0")))
-        yield pd.DataFrame(out, columns=["doc_id", "lang", "bytes"])
+def _sample(known: DataFrame, fit_docs: int) -> pd.DataFrame:
+    """(lang, doc_id, bytes): FIT_WINDOWS windows of each of the ``fit_docs`` documents of a language with the least hash of doc_id.
+
+    Windows are cut before anything is ranked, so no whole text moves. A first count of each language gives a bound on
+    the hash that leaves some OVERDRAW * fit_docs documents of it, whatever its size; only these are ranked. The driver
+    gets one number and the windows per language, which the network has an output for.
+    """
+    size = F.octet_length("text")
+    known = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("rank"), "text")
+    bounds = {r.lang: min(1.0, OVERDRAW * fit_docs / r.n) for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = F.shiftrightunsigned("rank", 11).cast("double") / float(1 << 53)
+    # the signed order of ranks starts at the least negative one: place in [0, 1)
+    place = F.when(share >= 0.5, share - 0.5).otherwise(share + 0.5)
+    bound = F.element_at(F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair]), F.col("lang")) if bounds else F.lit(1.0)
+    few = known.where(place <= bound)
+    cut_at = F.transform(F.sequence(F.lit(0), F.lit(FIT_WINDOWS - 1)), lambda k: F.substring(F.encode("text", "UTF-8"), F.floor(k * F.greatest(size - WINDOW, F.lit(0)) / max(1, FIT_WINDOWS - 1)).cast("int") + 1, F.lit(WINDOW)))
+    few = few.select("lang", "doc_id", "rank", F.xxhash64("text").alias("tie"), cut_at.alias("windows"))
+    least = Window.partitionBy("lang").orderBy("rank", "doc_id", "tie")
+    few = few.withColumn("n", F.row_number().over(least)).where(F.col("n") <= fit_docs)
+    return few.select("lang", "doc_id", F.explode("windows").alias("bytes")).toPandas()
 
 
 def predict(documents: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
@@ -191,14 +204,12 @@ def predict(documents: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     known = docs.where(part != 0).where("lang is not null and text is not null and trim(text) <> ''")
-    least = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    few = known.select("doc_id", "lang", "text", F.row_number().over(least).alias("n")).where(F.col("n") <= fit_docs).drop("n")
-    rows = few.mapInPandas(_sample, "doc_id long, lang string, bytes binary").toPandas()
+    rows = _sample(known, fit_docs)
     rows = rows.sort_values(["lang", "doc_id", "bytes"])
     langs = sorted(rows.lang.unique().tolist())
     net = None
     if langs:
-        windows = np.frombuffer(b"".join(map(bytes, rows.bytes)), np.uint8).reshape(-1, WINDOW)
+        windows = np.frombuffer(b"".join(bytes(b).ljust(WINDOW, b"\0") for b in rows.bytes), np.uint8).reshape(-1, WINDOW)
         net = train(windows, np.searchsorted(langs, rows.lang.to_numpy(str)), len(langs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

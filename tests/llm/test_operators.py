@@ -239,6 +239,21 @@ def test_language_id(spark, edge, empty):
         assert abs((high - low) / 2e-4 - g[k][i]) < 1e-4
 
 
+def test_language_sample_is_the_least_hashes(spark):
+    rng = random.Random(8)
+    docs = [(k, "é" * rng.choice([1, 20, 40, 300]), rng.choice(["aa", "aa", "aa", "bb"])) for k in range(3000)] + [(9001, "solo", "cc")] * 2
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    rank = {r.doc_id: r.h for r in frame.selectExpr("doc_id", "xxhash64(doc_id) AS h").collect()}
+    expected = []
+    for lang in ("aa", "bb", "cc"):
+        for k, text, _ in sorted((d for d in docs if d[2] == lang), key=lambda d: (rank[d[0]], d[0]))[:20]:
+            raw = text.encode()
+            at = [i * max(0, len(raw) - langid.WINDOW) // (langid.FIT_WINDOWS - 1) for i in range(langid.FIT_WINDOWS)]
+            expected += [(lang, k, raw[a : a + langid.WINDOW]) for a in at]
+    got = langid._sample(frame, 20)
+    assert sorted(zip(got.lang, got.doc_id, map(bytes, got.bytes))) == sorted(expected)
+
+
 def test_topk(spark):
     rng = random.Random(8)
     rows = [(k, [rng.choice([0.0, rng.uniform(-1, 1)]) for _ in range(6)]) for k in range(260)]
