@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp as T
-from .shared import limit_arrow, materialise, work_dir
+from .shared import hot_keys, limit_arrow, materialise, salted_join, work_dir
 
 U64 = np.uint64
 PREFIX = 4
@@ -140,26 +140,29 @@ def recurring_lines(documents: DataFrame, min_words: int = MIN_WORDS, min_docs:
     limit_arrow(spark)
     base = work_dir(spark, "lines")
     texts = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    leaves = texts.mapInArrow(_leaves(min_words), "leaf long, doc_id long").groupBy("leaf").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("leaf")
+    leaves = texts.mapInArrow(_leaves(min_words), "leaf long, doc_id long").groupBy("leaf").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("leaf", "n")
     leaves = materialise(leaves, f"{base}/leaves")
     found = texts.mapInArrow(_lines(min_words), "leaf long, template long, doc_id long, line int, n_words int, tokens binary")
-    found = materialise(found.join(leaves, "leaf", "left_semi"), f"{base}/found")
+    found = materialise(salted_join(found, leaves.select("leaf"), "leaf", hot_keys(leaves, "leaf"), ["doc_id", "line"], "left_semi"), f"{base}/found")
 
-    forms = found.groupBy("leaf", "template").agg(F.first("tokens").alias("tokens"))
-    forms = forms.select("leaf", "template", "tokens", *[F.xxhash64("leaf", F.substring("tokens", 1, 2 * k)).alias(f"place{k}") for k in (8, 16)])
+    forms = found.groupBy("leaf", "template").agg(F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
+    forms = forms.select("leaf", "template", "tokens", "n", *[F.xxhash64("leaf", F.substring("tokens", 1, 2 * k)).alias(f"place{k}") for k in (8, 16)])
     forms = materialise(forms, f"{base}/forms")
+    hot = hot_keys(forms, "template")
     for k, key in enumerate(("leaf", "place8", "place16")):
-        big = forms.groupBy(key).agg(F.count(F.lit(1)).alias(f"n{k}"))
-        forms = forms.join(big.where(f"n{k} > 1"), key, "left")
+        big = materialise(forms.groupBy(key).agg(F.count(F.lit(1)).alias(f"n{k}")).where(f"n{k} > 1"), f"{base}/n{k}")
+        forms = salted_join(forms, big, key, hot_keys(big, key, f"n{k}"), ["template"], "left")
     place = F.when(F.coalesce("n0", F.lit(1)) <= LEAF_MAX, F.col("leaf")).when(F.coalesce("n1", F.lit(1)) <= LEAF_MAX, F.col("place8")).when(F.coalesce("n2", F.lit(1)) <= LEAF_MAX, F.col("place16"))
     together = forms.where("n0 > 1").select(place.alias("place"), "template", "tokens").where("place is not null")
     together = together.repartition("place").sortWithinPartitions("place", "template").mapInPandas(_clusters, "template long, cluster long")
-    joined = found.select("template", "doc_id", "line", "n_words").join(together.where("template <> cluster"), "template", "left")
+    joined = salted_join(found.select("template", "doc_id", "line", "n_words"), together.where("template <> cluster"), "template", hot, ["doc_id", "line"], "left")
     joined = materialise(joined.select("doc_id", "line", "n_words", F.coalesce("cluster", "template").alias("cluster")), f"{base}/joined")
 
-    docs = joined.select("cluster", "doc_id", "n_words").distinct().groupBy("cluster").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"), F.max("n_words").alias("words"))
-    recurs = docs.where((F.col("n_docs") >= min_docs) | ((F.col("n_docs") >= 2) & (F.col("words") >= long_words)))
-    return joined.join(recurs, "cluster").where("doc_id > first_doc").select("doc_id", "line", "cluster").distinct()
+    docs = joined.groupBy("cluster", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("n_words").alias("words"))
+    docs = docs.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"), F.max("words").alias("words"), F.sum("n").alias("n"))
+    recurs = materialise(docs.where((F.col("n_docs") >= min_docs) | ((F.col("n_docs") >= 2) & (F.col("words") >= long_words))), f"{base}/recurs")
+    kept = salted_join(joined, recurs.select("cluster", "first_doc"), "cluster", hot_keys(recurs, "cluster"), ["doc_id", "line"])
+    return kept.where("doc_id > first_doc").select("doc_id", "line", "cluster").distinct()
 
 
 def drop_recurring_lines(documents: DataFrame, **options) -> DataFrame:
@@ -172,7 +175,8 @@ def drop_recurring_lines(documents: DataFrame, **options) -> DataFrame:
     """
     drops = recurring_lines(documents, **options).groupBy("doc_id").agg(F.collect_set("line").alias("__drop"))
     drops = drops.select(F.col("doc_id").alias("__doc"), "__drop")
-    kept = documents.join(drops, F.col("doc_id") == F.col("__doc"), "left")
+    # by a shuffle at every size, since the drops grow with the corpus
+    kept = documents.join(drops.hint("merge"), F.col("doc_id") == F.col("__doc"), "left")
     rest = F.array_join(F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.when(~F.array_contains("__drop", i), x)), lambda x: x.isNotNull()), "\n")
     count = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1)
     kept = kept.withColumns({"n_lines": count.cast("long"), "n_dropped": F.coalesce(F.size("__drop"), F.lit(0)).cast("long"), "text": F.when(F.col("__drop").isNull(), F.col("text")).otherwise(rest)})

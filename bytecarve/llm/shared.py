@@ -55,3 +55,27 @@ def uniform(key, seed: int):
 
 def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: A key with over 1 / HOT_SHARE of all rows is hot, so there are fewer than HOT_SHARE of them; SALTS tasks share one.
+HOT_SHARE, SALTS = 1000, 32
+
+
+def hot_keys(sizes: DataFrame, key: str, n: str = "n") -> list:
+    """Keys of ``sizes`` (one row per key) that hold over 1 / HOT_SHARE of the sum of ``n``."""
+    total = sizes.agg(F.sum(n)).first()[0] or 0
+    return [r[0] for r in sizes.where(F.col(n) * HOT_SHARE > total).select(key).collect()]
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, hot: list, spread: list[str], how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` (one row per ``key``): rows of a hot key spread by a hash of ``spread`` over SALTS copies.
+
+    By a shuffle at every size, since both sides grow with the corpus.
+    """
+    right = right.hint("merge")
+    if not hot:
+        return left.join(right, key, how)
+    is_hot = F.col(key).isin(hot)
+    salted = left.withColumn("__salt", F.when(is_hot, F.pmod(F.xxhash64(*spread), F.lit(SALTS))).otherwise(0).cast("int"))
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(right.withColumn("__salt", F.explode(copies)).hint("merge"), [key, "__salt"], how).drop("__salt")
