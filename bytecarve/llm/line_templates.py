@@ -4,8 +4,8 @@ Every \n-split line with at least ``min_words`` words walks a tree of fixed dept
 then its first PREFIX tokens, where tokens with a digit, ``@`` or ``://`` are variable fields
 and walk as one wildcard. In the leaf it joins the template whose fixed tokens it shares at
 SIMILARITY or more of all positions (positions that differ become wildcards) or founds a new one.
-A leaf of over LEAF_MAX distinct lines is split by more leading tokens (8, then 16); beyond
-that its lines stand for themselves.
+A leaf of over LEAF_MAX distinct lines is clustered in salted parts, in rounds for as long as they halve
+it; the templates that are left are then clustered as items of one leaf, whatever their number.
 
 A template recurs if its lines lie in ``min_docs`` documents or more (two suffice for lines of
 ``long_words`` words or more). Lines of a recurring template are dropped, except in the document
@@ -93,45 +93,103 @@ def _lines(min_words: int):
     return run
 
 
-def cluster(templates: list[int], tokens: list[bytes], similarity: float = SIMILARITY) -> list[int]:
-    """Leaf step of the tree: for each line form (ascending by hash) the hash of the template it joins."""
-    rows = np.frombuffer(b"".join(tokens), "<u2").reshape(len(tokens), -1)
+def merge(rows: np.ndarray, fixed: np.ndarray, similarity: float = SIMILARITY) -> tuple[list[int], np.ndarray]:
+    """Leaf step of the tree: for each item (tokens and its fixed positions) the number of the item whose
+    template it joins, and the fixed positions of those templates in the end.
+
+    Many items are looked up by blocks of positions: of one block more than a template may differ from an
+    item in, one is equal and fixed in both. All lie behind the prefix, which a leaf shares.
+    """
     width = rows.shape[1]
-    fixed = np.zeros((len(rows), width), bool)
-    form = np.zeros_like(rows)
-    name: list[int] = []
-    out = []
+    fixed = fixed.copy()
+    cut = np.linspace(PREFIX, width, int(width - similarity * width + 1e-9) + 2).astype(int) if width > PREFIX else np.zeros(2, int)
+    indexed = len(rows) > LEAF_MAX and bool((np.diff(cut) > 0).all())
+    index: dict[tuple[int, bytes], list[int]] = {}
+    heads = np.zeros(len(rows), np.int64)
+    n, out = 0, []
     for k, row in enumerate(rows):
-        if name:
-            same = (form[: len(name)] == row) & fixed[: len(name)]
+        keys = [(a, row[a:b].tobytes()) for a, b in zip(cut, cut[1:]) if fixed[k, a:b].all()] if indexed else []
+        at = np.unique(np.concatenate([np.array(index.get(key, []), np.int64) for key in keys] or [heads[:0]])) if indexed else heads[:n]
+        if len(at):
+            same = (rows[at] == row) & fixed[at] & fixed[k]
             share = same.sum(1)
             best = int(share.argmax())
             if share[best] >= similarity * width:
-                fixed[best] = same[best]
-                out.append(name[best])
+                fixed[at[best]] = same[best]
+                out.append(int(at[best]))
                 continue
-        form[len(name)], fixed[len(name)] = row, True
-        name.append(templates[k])
-        out.append(templates[k])
-    return out
+        heads[n] = k
+        n += 1
+        for key in keys:
+            index.setdefault(key, []).append(k)
+        out.append(k)
+    return out, fixed
+
+
+def cluster(templates: list[int], tokens: list[bytes], similarity: float = SIMILARITY) -> list[int]:
+    """For each line form (ascending by hash) the hash of the template it joins."""
+    rows = np.frombuffer(b"".join(tokens), "<u2").reshape(len(tokens), -1)
+    return [templates[k] for k in merge(rows, np.ones(rows.shape, bool), similarity)[0]]
+
+
+_MERGED = "leaf long, template long, cluster long, n long, tokens binary, fixed binary"
 
 
 def _clusters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Groups that lie together, sorted by (place, template), over a stream of batches."""
-    rest: pd.DataFrame | None = None
+    held: list[pd.DataFrame] = []
     for batch in batches:
-        rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-        last = rest.place.iloc[-1] if len(rest) else None
-        ready, rest = rest[rest.place != last], rest[rest.place == last]
-        if len(ready):
-            yield _grouped(ready)
-    if rest is not None and len(rest):
-        yield _grouped(rest)
+        if not len(batch):
+            continue
+        last = batch.place.iloc[-1]
+        if held and (batch.place.iloc[0] != last or held[-1].place.iloc[-1] != last):
+            held.append(batch[batch.place != last])
+            yield _grouped(pd.concat(held, ignore_index=True))
+            held, batch = [], batch[batch.place == last]
+        held.append(batch)
+    if held:
+        yield _grouped(pd.concat(held, ignore_index=True))
 
 
 def _grouped(rows: pd.DataFrame) -> pd.DataFrame:
-    out = [cluster(g.template.tolist(), g.tokens.tolist()) for _, g in rows.groupby("place", sort=False)]
-    return pd.DataFrame({"template": rows.template.to_numpy(), "cluster": [x for o in out for x in o]})
+    """Each item's template; tokens and fixed positions are given for the templates of parts, which meet again."""
+    names, masks = [], []
+    for _, g in rows.groupby("place", sort=False):
+        form = np.frombuffer(b"".join(g.tokens), "<u2").reshape(len(g), -1)
+        mask = np.stack([np.ones(form.shape[1], bool) if f is None else np.frombuffer(f, bool) for f in g.fixed])
+        joins, mask = merge(form, mask)
+        names.append(g.template.to_numpy()[joins])
+        masks += [mask[k].tobytes() if again and k == j else None for k, (again, j) in enumerate(zip(g.again, joins))]
+    out = pd.DataFrame({"leaf": rows.leaf, "template": rows.template, "cluster": np.concatenate(names), "n": rows.n})
+    out["fixed"] = pd.Series(masks, out.index, object)
+    out["tokens"] = rows.tokens.where(out.fixed.notna(), None)
+    return out[["leaf", "template", "cluster", "n", "tokens", "fixed"]]
+
+
+def _generalise(items: DataFrame, base: str) -> DataFrame:
+    """(template, cluster) of the line forms ``items`` (leaf, template, tokens, n forms in the leaf) that join another's template."""
+    items = items.withColumns({"fixed": F.lit(None).cast("binary"), "again": F.col("n") > LEAF_MAX})
+    joins, k = None, 0
+    while True:
+        parts = F.when(F.col("again"), F.ceil(F.col("n") / LEAF_MAX)).otherwise(1)
+        place = F.xxhash64("leaf", F.pmod(F.xxhash64("template", F.lit(k)), parts))
+        dealt = items.withColumn("place", place).repartition("place").sortWithinPartitions("place", "template")
+        merged = materialise(dealt.mapInPandas(_clusters, _MERGED), f"{base}/merged{k}")
+        step = merged.where("template <> cluster").select("template", "cluster")
+        if joins is None:
+            joins = step
+        else:
+            hot = hot_keys(joins.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")), "cluster")
+            moved = salted_join(joins, step.select(F.col("template").alias("cluster"), F.col("cluster").alias("to")), "cluster", hot, ["template"], "left")
+            joins = materialise(moved.select("template", F.coalesce("to", "cluster").alias("cluster")).unionByName(step), f"{base}/joins{k}")
+        left = merged.where("fixed is not null")
+        sizes = materialise(left.groupBy("leaf").agg(F.count(F.lit(1)).alias("left")), f"{base}/left{k}")
+        if sizes.isEmpty():
+            return joins
+        # parts that no longer halve a leaf leave the rest to one last round over all of it
+        again = (F.col("left") > LEAF_MAX) & (2 * F.col("left") <= F.col("n"))
+        items = left.join(sizes.hint("merge"), "leaf").select("leaf", "template", "tokens", F.col("left").alias("n"), "fixed", again.alias("again"))
+        k += 1
 
 
 def recurring_lines(documents: DataFrame, min_words: int = MIN_WORDS, min_docs: int = MIN_DOCS, long_words: int = LONG_WORDS) -> DataFrame:
@@ -145,17 +203,12 @@ def recurring_lines(documents: DataFrame, min_words: int = MIN_WORDS, min_docs:
     found = texts.mapInArrow(_lines(min_words), "leaf long, template long, doc_id long, line int, n_words int, tokens binary")
     found = materialise(salted_join(found, leaves.select("leaf"), "leaf", hot_keys(leaves, "leaf"), ["doc_id", "line"], "left_semi"), f"{base}/found")
 
-    forms = found.groupBy("leaf", "template").agg(F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
-    forms = forms.select("leaf", "template", "tokens", "n", *[F.xxhash64("leaf", F.substring("tokens", 1, 2 * k)).alias(f"place{k}") for k in (8, 16)])
-    forms = materialise(forms, f"{base}/forms")
-    hot = hot_keys(forms, "template")
-    for k, key in enumerate(("leaf", "place8", "place16")):
-        big = materialise(forms.groupBy(key).agg(F.count(F.lit(1)).alias(f"n{k}")).where(f"n{k} > 1"), f"{base}/n{k}")
-        forms = salted_join(forms, big, key, hot_keys(big, key, f"n{k}"), ["template"], "left")
-    place = F.when(F.coalesce("n0", F.lit(1)) <= LEAF_MAX, F.col("leaf")).when(F.coalesce("n1", F.lit(1)) <= LEAF_MAX, F.col("place8")).when(F.coalesce("n2", F.lit(1)) <= LEAF_MAX, F.col("place16"))
-    together = forms.where("n0 > 1").select(place.alias("place"), "template", "tokens").where("place is not null")
-    together = together.repartition("place").sortWithinPartitions("place", "template").mapInPandas(_clusters, "template long, cluster long")
-    joined = salted_join(found.select("template", "doc_id", "line", "n_words"), together.where("template <> cluster"), "template", hot, ["doc_id", "line"], "left")
+    forms = materialise(found.groupBy("leaf", "template").agg(F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("lines")), f"{base}/forms")
+    hot = hot_keys(forms, "template", "lines")
+    big = materialise(forms.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"{base}/big")
+    together = salted_join(forms.drop("lines"), big, "leaf", hot_keys(big, "leaf"), ["template"])
+    together = _generalise(together, base)
+    joined = salted_join(found.select("template", "doc_id", "line", "n_words"), together, "template", hot, ["doc_id", "line"], "left")
     joined = materialise(joined.select("doc_id", "line", "n_words", F.coalesce("cluster", "template").alias("cluster")), f"{base}/joined")
 
     docs = joined.groupBy("cluster", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("n_words").alias("words"))

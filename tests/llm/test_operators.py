@@ -133,6 +133,26 @@ def test_cluster_generalises():
     assert line_templates.cluster([1, 2, 3], [x.tobytes() for x in (a, b, c)]) == [1, 1, 3]
 
 
+def test_big_leaf_generalises(spark):
+    letters = str.maketrans("0123456789", "abcdefghij")
+    docs = [(k, f"posted by our member {str(k).translate(letters)}") for k in range(1500)]
+    kept = line_templates.drop_recurring_lines(spark.createDataFrame(docs, "doc_id long, text string")).where("n_dropped = 0").collect()
+    assert [r.doc_id for r in kept] == [0]
+
+
+def test_merge_by_blocks(monkeypatch):
+    rng = np.random.default_rng(7)
+    for width in (3, 5, 6, 9, 20):
+        rows = rng.integers(0, 4, (600, width)).astype("<u2")
+        rows[:, :4] = 1
+        fixed = rng.random(rows.shape) < 0.95
+        plain = line_templates.merge(rows, fixed)
+        with monkeypatch.context() as m:
+            m.setattr(line_templates, "LEAF_MAX", 10)
+            blocks = line_templates.merge(rows, fixed)
+        assert plain[0] == blocks[0] and (plain[1] == blocks[1]).all()
+
+
 def test_quality_statistics_and_trees(spark, edge, empty):
     rng = random.Random(2)
     texts = ["\n".join(" ".join(rng.choices(["a", "bb", "c#c", "é", "|", "dd"], k=rng.randint(0, 6))) for _ in range(rng.randint(0, 12))) for _ in range(200)] + [t or "" for _, t, _, _ in EDGE]
