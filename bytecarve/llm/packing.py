@@ -1,11 +1,12 @@
 """Best-fit packing of tokenised documents by hierarchical residual packing.
 
 Each scan partition tokenises its documents, cuts those longer than a sequence, and packs the pieces
-best-fit in descending order. Bins that are nearly full are done. The others travel as items to the
-next level, where FAN_IN nodes meet and are packed again, until one node is left. A node forwards at
-most FORWARD bins (the emptiest; further ones are done as they are), so that no task, the root
-included, holds more than FAN_IN * FORWARD items whatever the size of the corpus. Texts are not shuffled:
-only (doc_id, piece, start, length, crc) of the underfull bins moves.
+best-fit in descending order. Bins that are nearly full are done. The pieces of all others are residual items of
+the second level, which packs them best-fit in descending order over the whole corpus: equal totals are
+interchangeable, so the plan is made from the number of items of each total, and every item finds its bin
+by its total and its number among the items of that total. No task holds more than a scan partition's
+pieces or the plan, whose size depends on the capacity alone. Texts are not shuffled: only (doc_id, piece,
+start, length, crc) of the residual pieces moves, once.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textnp as T
@@ -27,15 +28,15 @@ from .shared import limit_arrow, materialise, work_dir
 LENGTH = 2048
 END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
-#: A bin with at most this share of its room left is done at any level.
+#: A bin with at most this share of its room left is done in the scan.
 NEARLY_FULL = 0.01
-FAN_IN, FORWARD = 8, 2000
-#: Pieces that a scan partition holds before it packs them; bounds the worker's memory.
+#: Pieces that a scan partition holds before it packs them and passes the residual ones on; bounds the worker's memory.
 HOLD = 200_000
 
 _MEMBER = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())])
-_ROW = pa.schema([("node", pa.int64()), ("done", pa.bool_()), ("sequence_id", pa.int64()), ("total", pa.int64()), ("members", pa.list_(_MEMBER))])
-_DDL = "node long, done boolean, sequence_id long, total long, members array<struct<doc_id long, piece int, start long, length long, ids_crc32 long, offset long>>"
+_ROW = pa.schema([("node", pa.int64()), ("done", pa.bool_()), ("sequence_id", pa.int64()), ("total", pa.int64()), ("number", pa.int64()), ("members", pa.list_(_MEMBER))])
+_DDL = "node long, done boolean, sequence_id long, total long, number long, members array<struct<doc_id long, piece int, start long, length long, ids_crc32 long, offset long>>"
+_PLACED = "sequence_id long, base long, members array<struct<doc_id long, piece int, start long, length long, ids_crc32 long, offset long>>"
 
 
 def best_fit(lengths: list[int], capacity: int = LENGTH) -> list[list[int]]:
@@ -63,21 +64,60 @@ def best_fit(lengths: list[int], capacity: int = LENGTH) -> list[list[int]]:
     return bins
 
 
-def _pack(items: list[tuple[int, list[dict]]], level: int, node: int, capacity: int, last: bool, serial: int) -> list[tuple]:
-    """Rows (node, done, sequence_id, total, members) of the bins that hold ``items`` (total, members)."""
-    made = []
-    for chosen in best_fit([n for n, _ in items], capacity):
-        made.append((sum(items[k][0] for k in chosen), [m for k in chosen for m in items[k][1]]))
-    made.sort(key=lambda x: x[0])
+def plan(counts: dict[int, int], capacity: int = LENGTH) -> list[tuple[int, int, int, int, int]]:
+    """Best fit of ``counts`` items by total, as (total, first number, first bin, items a bin, offset) in the order
+    of total and number: item k from the first number on lies in bin first + (k - first number) // items, and the items
+    of one bin lie one behind the other from ``offset`` on. Bins of equal room are filled as a range."""
+    out, made = [], 0
+    groups: dict[int, list[tuple[int, int]]] = {}  # room: ranges (first bin, bins)
+    for total in sorted(counts, reverse=True):
+        number, left = 0, counts[total]
+        back: list[tuple[int, int, int]] = []
+        rooms = sorted(r for r in groups if r >= total)
+        while left:
+            if rooms:
+                room = rooms[0]
+                first, bins = groups[room].pop()
+                if not groups[room]:
+                    del groups[room], rooms[0]
+            else:
+                room, first, bins = capacity, made, -(-left // (capacity // total))
+                made += bins
+            each = min(room // total, left)
+            full = min(bins, left // each)
+            out.append((total, number, first, each, capacity - room))
+            back.append((room - each * total, first, full))
+            rest = min(left - full * each, each) if full < bins else 0
+            number, left = number + full * each + rest, left - full * each - rest
+            if rest:
+                back.append((room - rest * total, first + full, 1))
+                full += 1
+            back.append((room, first + full, bins - full))
+        for room, first, bins in back:
+            if room and bins:
+                groups.setdefault(room, []).append((first, bins))
+    return sorted(out)
+
+
+def _pack(items: list[tuple[int, list[dict]]], node: int, capacity: int, serial: int, seen: dict[int, int]) -> list[tuple]:
+    """Rows (node, done, sequence_id, total, number, members): nearly full bins of ``items`` (total, members), and the items of all others.
+
+    Items of one total are numbered; ``seen`` counts them over the calls.
+    """
     rows = []
-    for k, (total, members) in enumerate(made):
-        done = last or k >= FORWARD or capacity - total <= NEARLY_FULL * capacity
-        if done:
+    for k, chosen in enumerate(best_fit([n for n, _ in items], capacity)):
+        total = sum(items[i][0] for i in chosen)
+        if capacity - total <= NEARLY_FULL * capacity:
             at = 0
-            for m in members:
-                m["offset"] = at
-                at += m["length"]
-        rows.append((node, done, (level << 56) + (node << 28) + serial + k, total, members))
+            for i in chosen:
+                for m in items[i][1]:
+                    m["offset"] = at
+                    at += m["length"]
+            rows.append((node, True, (node << 28) + serial + k, total, None, [m for i in chosen for m in items[i][1]]))
+            continue
+        for n, members in (items[i] for i in chosen):
+            rows.append((node, False, None, n, seen.get(n, 0), members))
+            seen[n] = seen.get(n, 0) + 1
     return rows
 
 
@@ -91,7 +131,7 @@ def _scan(path: Callable[[], str], capacity: int, end_id: int):
         node = TaskContext.get().partitionId()
         encoder = K.encoder(path(), False)
         held: list[tuple[int, list[dict]]] = []
-        serial = 0
+        serial, seen = 0, {}
         for batch in batches:
             ids_of = batch.column("doc_id").cast(pa.int64()).to_pylist()
             buf, off, _ = T.utf8(batch.column("text"))
@@ -105,28 +145,32 @@ def _scan(path: Callable[[], str], capacity: int, end_id: int):
                         part = raw[4 * start : 4 * (start + capacity)]
                         m = {"doc_id": ids_of[i + k], "piece": piece, "start": start, "length": len(part) // 4, "ids_crc32": zlib.crc32(part), "offset": 0}
                         if m["length"] == capacity:
-                            full.append((node, True, (node << 28) + serial, capacity, [m]))
+                            full.append((node, True, (node << 28) + serial, capacity, None, [m]))
                             serial += 1
                         else:
                             held.append((m["length"], [m]))
                 if full:
                     yield _batch(full)
                 if len(held) >= HOLD:
-                    rows = _pack(held, 0, node, capacity, False, serial)
+                    rows = _pack(held, node, capacity, serial, seen)
                     serial += len(rows)
-                    yield _batch([r for r in rows if r[1]])
-                    held = [(r[3], r[4]) for r in rows if not r[1]]
+                    yield _batch(rows)
+                    held = []
         if held:
-            yield _batch(_pack(held, 0, node, capacity, False, serial))
+            yield _batch(_pack(held, node, capacity, serial, seen))
 
     return run
 
 
-def _merge(level: int, capacity: int, last: bool):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("sequence_id")
-        items = [(int(t), [dict(m) for m in ms]) for t, ms in zip(rows.total, rows.members)]
-        return pd.DataFrame(_pack(items, level, int(rows.node.iloc[0]), capacity, last, 0), columns=_ROW.names)
+def _place(segments: list[tuple[int, int, int, int, int]]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, number, first, each, offset = np.array(segments, np.int64).T
+        for rows in batches:
+            t, k = rows.total.to_numpy(np.int64), rows.number.to_numpy(np.int64)
+            # segments of one total are sorted by their first number, which is below 1 << 48
+            at = np.searchsorted((total << 48) + number, (t << 48) + k, side="right") - 1
+            k = k - number[at]
+            yield pd.DataFrame({"sequence_id": (1 << 56) + first[at] + k // each[at], "base": offset[at] + k % each[at] * t, "members": rows.members})
 
     return run
 
@@ -144,16 +188,15 @@ def pack(documents: DataFrame, capacity: int = LENGTH, end_id: int = END_ID, tok
     base = work_dir(spark, "packing")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     path = (lambda: tokenizer_path) if tokenizer_path else (lambda: K.public_path(TOKENIZER))
-    levels = [materialise(texts.mapInArrow(_scan(path, capacity, end_id), _DDL), f"{base}/0")]
-    top = levels[0].agg(F.max("node")).first()[0] or 0
-    while True:
-        left = levels[-1].where("not done").withColumn("node", F.floor(F.col("node") / FAN_IN).cast("long"))
-        top //= FAN_IN
-        merged = left.groupBy("node").applyInPandas(_merge(len(levels), capacity, top == 0), _DDL)
-        levels.append(materialise(merged, f"{base}/{len(levels)}"))
-        if top == 0:
-            break
-    done = levels[0].where("done")
-    for level in levels[1:]:
-        done = done.unionByName(level.where("done"))
-    return done.select("sequence_id", F.explode("members").alias("m")).select("m.doc_id", "m.piece", "m.start", "m.length", "m.ids_crc32", "sequence_id", "m.offset")
+    packed = materialise(texts.mapInArrow(_scan(path, capacity, end_id), _DDL), f"{base}/0")
+    done = packed.where("done").select("sequence_id", F.lit(0).cast("long").alias("base"), "members")
+    left = packed.where("not done").drop("done", "sequence_id")
+    sizes = materialise(left.groupBy("total", "node").agg(F.count(F.lit(1)).alias("n")), f"{base}/sizes")
+    counts = {r.total: r.n for r in sizes.groupBy("total").agg(F.sum("n").alias("n")).collect()}
+    if counts:
+        before = F.sum("n").over(Window.partitionBy("total").orderBy("node")) - F.col("n")
+        left = left.join(sizes.select("total", "node", before.alias("before")).hint("merge"), ["total", "node"])
+        left = left.select("total", (F.col("number") + F.col("before")).alias("number"), "members")
+        placed = materialise(left.mapInPandas(_place(plan(counts, capacity)), _PLACED), f"{base}/1")
+        done = done.unionByName(placed)
+    return done.select("sequence_id", "base", F.explode("members").alias("m")).select("m.doc_id", "m.piece", "m.start", "m.length", "m.ids_crc32", "sequence_id", (F.col("base") + F.col("m.offset")).alias("offset"))

@@ -215,6 +215,31 @@ def test_packing(spark, edge, empty):
     assert len(bins) <= 1.02 * sum(sizes) / 2048 + 1
 
 
+def test_packing_forwards_every_underfull_bin(spark):
+    docs = [(k, "a " * 1200) for k in range(2600)] + [(k, "a " * 700) for k in range(2600, 5200)]
+    frame = spark.createDataFrame(spark.sparkContext.parallelize(docs, 2), "doc_id long, text string")
+    rows = packing.pack(frame).toPandas()
+    assert rows.doc_id.nunique() == len(rows) == 5200
+    assert set(rows.groupby("sequence_id").length.sum()) == {sum(set(rows.length))} and rows.sequence_id.nunique() == 2600
+
+
+def test_packing_plan():
+    rng = random.Random(8)
+    for top in (3, 40, 2047):
+        sizes = [rng.randint(1, top) for _ in range(3000)]
+        counts = collections.Counter(sizes)
+        used = collections.defaultdict(list)
+        parts = packing.plan(counts)
+        for (total, number, first, each, offset), after in zip(parts, parts[1:] + [(0,)]):
+            for k in range(number, after[1] if after[0] == total else counts[total]):
+                used[first + (k - number) // each].append((offset + (k - number) % each * total, total))
+        assert sorted(t for b in used.values() for _, t in b) == sorted(sizes)
+        for b in used.values():
+            b.sort()
+            assert [x for x, _ in b] == [sum(t for _, t in b[:k]) for k in range(len(b))] and sum(t for _, t in b) <= 2048
+        assert len(used) == len(packing.best_fit(sizes)) and set(used) == set(range(len(used)))
+
+
 def test_huffman(spark, edge, empty):
     rng = np.random.default_rng(1)
     counts = (rng.pareto(1, 400) * 50).astype(int) + 1
