@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import os
 import struct
 import zlib
 
@@ -97,13 +98,23 @@ def mp4(brand: bytes = b"isom") -> bytes:
     return box(b"ftyp", brand + struct.pack(">I", 512) + b"isom") + box(b"free", b"") + box(b"mdat", bytes(64)) + box(b"moov", bytes(32))
 
 
+def mp4_wide(brand: bytes) -> bytes:
+    """The first box gives its size in 64 bits, so its brands are not where they are looked for."""
+    first = struct.pack(">I", 1) + b"ftyp" + struct.pack(">Q", 28) + brand + struct.pack(">I", 512) + b"isom"
+    return first + mp4()[20:]
+
+
+def patched(data: bytes, at: int, new: bytes) -> bytes:
+    return data[:at] + new + data[at + len(new) :]
+
+
 def riff(form: bytes = b"WAVE") -> bytes:
     body = form + b"fmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 8000, 1, 8) + b"data" + struct.pack("<I", 512) + bytes(k % 251 for k in range(512))
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
-def mp3() -> bytes:
-    return b"ID3\3\0\0" + bytes((0, 0, 0, 100)) + bytes(100) + (b"\xff\xfb\x90\0" + bytes(413)) * 12
+def mp3(frames: int = 12) -> bytes:
+    return b"ID3\3\0\0" + bytes((0, 0, 0, 100)) + bytes(100) + (b"\xff\xfb\x90\0" + bytes(413)) * frames
 
 
 def elf() -> bytes:
@@ -111,8 +122,8 @@ def elf() -> bytes:
     return head.ljust(256, b"\0")
 
 
-def ico() -> bytes:
-    return b"\0\0\1\0\1\0" + bytes((1, 1, 0, 0)) + struct.pack("<HHII", 1, 32, 56, 22) + bytes(k + 1 for k in range(56))
+def ico(kind: int = 1) -> bytes:
+    return b"\0\0" + bytes((kind,)) + b"\0\1\0" + bytes((1, 1, 0, 0)) + struct.pack("<HHII", 1, 32, 56, 22) + bytes(k + 1 for k in range(56))
 
 
 def ogg() -> bytes:
@@ -145,6 +156,39 @@ def plist() -> bytes:
     return b"bplist00" + b"\x09" + b"\x08" + bytes(6) + bytes((1, 1)) + struct.pack(">QQQ", 1, 0, 9)
 
 
+def ewf_set(raw: str, path: str, per_chunk: int = 2, packed: bool = True, segments: int = 1, extra: int = 0) -> list[str]:
+    """Write the file ``raw`` as an EWF set that begins at ``path`` (.E01), chunk by chunk; ``extra`` chunks are declared but missing."""
+    chunk = 512 * per_chunk
+    size = os.path.getsize(raw)
+    n = -(-size // chunk)
+    out = []
+    with open(raw, "rb") as data:
+        for k in range(segments):
+            out.append(f"{path[:-2]}{k + 1:02d}")
+            with open(out[-1], "wb") as f:
+                f.write(b"EVF\x09\x0d\x0a\xff\x00\x01" + struct.pack("<HH", k + 1, 0))
+                if k == 0:
+                    body = struct.pack("<IIIIQ", 1, n + extra, per_chunk, 512, -(-size // 512)).ljust(1052, b"\0")
+                    f.write(_section(b"volume", 13, len(body)) + body)
+                begin, offsets = f.tell(), []
+                f.write(bytes(76))
+                for _ in range(n * k // segments, n * (k + 1) // segments):
+                    offsets.append(f.tell())
+                    part = data.read(chunk).ljust(chunk, b"\0")
+                    f.write(zlib.compress(part) if packed else part)
+                end = f.tell()
+                table = struct.pack("<IIQII", len(offsets), 0, 0, 0, 0) + b"".join(struct.pack("<I", o | (packed << 31)) for o in offsets)
+                f.write(_section(b"table", end, len(table)) + table)
+                f.write(_section(b"done" if k == segments - 1 else b"next", f.tell(), 0, last=True))
+                f.seek(begin)
+                f.write(_section(b"sectors", begin, end - begin - 76))
+    return out
+
+
+def _section(kind: bytes, at: int, body: int, last: bool = False) -> bytes:
+    return kind.ljust(16, b"\0") + struct.pack("<QQ", at if last else at + 76 + body, 76 + body) + bytes(44)
+
+
 #: type -> (file, extension)
 SAMPLES: dict[str, tuple[bytes, str]] = {
     "jpg": (jpg(), "jpg"), "png": (png(), "png"), "gif": (gif(), "gif"), "bmp": (bmp(), "bmp"), "tif": (tif(), "tif"), "pdf": (pdf(), "pdf"),
@@ -153,10 +197,39 @@ SAMPLES: dict[str, tuple[bytes, str]] = {
     "ogg": (ogg(), "ogg"), "mkv": (mkv(), "mkv"), "evtx": (evtx(), "evtx"), "hive": (hive(), "hive"), "plist": (plist(), "plist"),
 }
 
+def class_id(first: int) -> bytes:
+    return struct.pack("<I", first) + bytes.fromhex("00000000c000000000000046")
+
+
 #: Files whose extension is refined from their content: name -> (type, file, extension).
 VARIANTS: dict[str, tuple[str, bytes, str]] = {
     "zip_docx": ("zip", zip_("word/document.xml"), "docx"), "zip_xlsx": ("zip", zip_("xl/workbook.xml"), "xlsx"), "zip_jar": ("zip", zip_("META-INF/MANIFEST.MF"), "jar"),
-    "zip_epub": ("zip", zip_("mimetype", b"application/epub+zip"), "epub"), "ole_xls": ("ole", ole("Workbook"), "xls"), "ole_msg": ("ole", ole("__substg1.0_1000"), "msg"),
-    "ole_msi": ("ole", ole("Data", struct.pack("<I", 0x000C1084) + bytes.fromhex("00000000c000000000000046")), "msi"), "mp4_mov": ("mp4", mp4(b"qt  "), "mov"), "mp4_heic": ("mp4", mp4(b"heic"), "heic"),
-    "mp4_m4a": ("mp4", mp4(b"M4A "), "m4a"), "riff_avi": ("riff", riff(b"AVI "), "avi"), "riff_webp": ("riff", riff(b"WEBP"), "webp"), "mkv_webm": ("mkv", mkv(b"webm"), "webm"),
+    "zip_pptx": ("zip", zip_("ppt/slide.xml"), "pptx"), "zip_vsdx": ("zip", zip_("visio/pages.xml"), "vsdx"), "zip_apk": ("zip", zip_("AndroidManifest.xml"), "apk"),
+    "zip_epub": ("zip", zip_("mimetype", b"application/epub+zip"), "epub"), "zip_odf": ("zip", zip_("mimetype", b"application/vnd.oasis.opendocument.text"), "odf"),
+    "ole_xls": ("ole", ole("Workbook"), "xls"), "ole_book": ("ole", ole("Book"), "xls"), "ole_msg": ("ole", ole("__substg1.0_1000"), "msg"), "ole_msg_properties": ("ole", ole("__properties_version1.0"), "msg"),
+    "ole_ppt": ("ole", ole("PowerPoint Document"), "ppt"), "ole_vsd": ("ole", ole("VisioDocument"), "vsd"), "ole_plain": ("ole", ole("Data"), "ole"),
+    "ole_msi": ("ole", ole("Data", class_id(0x000C1084)), "msi"), "ole_msp": ("ole", ole("Data", class_id(0x000C1086)), "msp"), "ole_mst": ("ole", ole("Data", class_id(0x000C1082)), "mst"),
+    "ole_pub": ("ole", ole("Data", class_id(0x0002123D)), "pub"), "ole_class_first": ("ole", ole("WordDocument", class_id(0x00020820)), "xls"),
+    "ole_class_ppt": ("ole", ole("Data", bytes.fromhex("108d81649b4fcf1186ea00aa00b929e8")), "ppt"), "ole_class_msg": ("ole", ole("Data", class_id(0x00020D0B)), "msg"),
+    "mp4_mov": ("mp4", mp4(b"qt  "), "mov"), "mp4_heic": ("mp4", mp4(b"heic"), "heic"), "mp4_avif": ("mp4", mp4(b"avif"), "avif"), "mp4_m4a": ("mp4", mp4(b"M4A "), "m4a"),
+    "mp4_m4v": ("mp4", mp4(b"M4V "), "m4v"), "mp4_3gp": ("mp4", mp4(b"3gp5"), "3gp"), "mp4_3g2": ("mp4", mp4(b"3g2a"), "3g2"), "mp4_f4v": ("mp4", mp4(b"f4v "), "f4v"),
+    "mp4_wide": ("mp4", mp4_wide(b"qt  "), "mp4"), "riff_avi": ("riff", riff(b"AVI "), "avi"), "riff_webp": ("riff", riff(b"WEBP"), "webp"),
+    "mkv_webm": ("mkv", mkv(b"webm"), "webm"), "ico_cur": ("ico", ico(2), "cur"),
+}
+
+#: Files that are found without a definite end: name -> (type, file, extension, size; null: all that follows the header).
+LOOSE: dict[str, tuple[str, bytes, str, int | None]] = {
+    "zip_without_end": ("zip", zip_()[:-22], "zip", len(zip_()) - 22), "zip_cut_member": ("zip", zip_("a", bytes(40)) [:71] + zip_("b", bytes(4000))[:60], "zip", 71),
+    "ole_end_mark_in_list": ("ole", patched(ole(), 80, b"\xfe\xff\xff\xff"), "ole", None), "ole_list_chain_without_count": ("ole", patched(ole(), 68, b"\x00\xff\xff\x00"), "ole", None),
+    "pst_past_the_end": ("pst", patched(pst(), 0xB8, struct.pack("<Q", 1 << 60)), "pst", None), "sqlite_without_count": ("sqlite", patched(sqlite(), 28, bytes(4)), "sqlite", None),
+    "mkv_unknown_size": ("mkv", mkv().replace(b"\x18\x53\x80\x67\x01" + (90).to_bytes(7, "big"), b"\x18\x53\x80\x67\xff"), "mkv", None),
+    "mp3_few_frames": ("mp3", mp3(3), "mp3", len(mp3(3))),
+}
+
+#: Headers that no file follows: their walkers, or the checks before them, reject.
+REJECTED: dict[str, tuple[str, bytes]] = {
+    "jpg": ("jpg", b"\xff\xd8\xff\xe0\x00\x01"), "png": ("png", png()[:20]), "gif": ("gif", gif()[:13] + b"\x99"), "bmp": ("bmp", patched(bmp(), 14, b"\x07")), "tif": ("tif", b"II*\0" + struct.pack("<I", 8) + b"\0\0"),
+    "pdf": ("pdf", b"%PDF-1.4\nno end"), "rtf": ("rtf", rtf()[:-1]), "ole": ("ole", patched(ole(), 30, b"\x0a")), "pst": ("pst", patched(pst(), 10, b"\x63")), "gz": ("gz", gz()[:10] + b"\xff" * 20), "7z": ("7z", patched(seven_zip(), 20, bytes(8))),
+    "sqlite": ("sqlite", patched(sqlite(), 16, b"\x00\x03")), "mp4": ("mp4", mp4()[:20] + b"\0\0\0\x0cnope"), "mp4_size": ("mp4", b"\0\0\0\x07ftypisom"), "riff": ("riff", patched(riff(), 8, b"NOPE")), "mp3": ("mp3", b"ID3\x13" + bytes(200)),
+    "elf": ("elf", patched(elf(), 4, b"\x07")), "ico": ("ico", patched(ico(), 14, bytes(4))), "mkv": ("mkv", patched(mkv(), 16, b"\x19")), "evtx": ("evtx", b"ElfFile\0" + bytes(100)), "hive": ("hive", b"regf" + bytes(100)), "plist": ("plist", plist()[:-1]),
 }

@@ -7,6 +7,7 @@ Validated means that the structure was followed to a definite end; checksums are
 
 from __future__ import annotations
 
+import re
 import zlib
 from typing import NamedTuple
 
@@ -175,40 +176,37 @@ def pdf(v: View, parity: bool = False) -> Found | None:
     return Found(end, "pdf", True)
 
 
+_RTF_MARK, _RTF_BIN = re.compile(rb"[{}\\]"), re.compile(rb"\\bin(\d+) ?")
+
+
 def rtf(v: View, parity: bool = False) -> Found | None:
-    """Brace depth; ``parity`` loses an escape that is the last byte of a 64 KiB stride, as the original does."""
-    stride = 1 << 16
+    """Brace depth. Strides begin at the file's start and anew after each ``\\bin``; ``parity`` loses an escape or a
+    ``\\bin`` that the end of a stride cuts, as the original does, else it is looked at again with room around it."""
+    stride, word = 1 << 16, 24
     at = depth = 0
     while at < v.limit:
-        start, buf = at, v.read(at, stride)
+        buf = v.read(at, stride)
         if not buf:
             return None
-        i = 0
-        while i < len(buf):
-            c = buf[i]
-            if c == 0x7B:
+        i, after = 0, -1
+        while after < 0 and (m := _RTF_MARK.search(buf, i)):
+            i, mark = m.end(), m[0]
+            if mark == b"{":
                 depth += 1
-            elif c == 0x7D:
+            elif mark == b"}":
                 depth -= 1
                 if depth == 0:
-                    return Found(start + i + 1, "rtf", True)
+                    return Found(at + i, "rtf", True)
                 if depth < 0:
                     return None
-            elif c == 0x5C:
-                if not parity and i + 16 > len(buf) and start + len(buf) < v.limit and i:
-                    break  # look at the control word again with room around it
-                if buf[i + 1 : i + 4] == b"bin":
-                    k = i + 4
-                    while k < len(buf) and 48 <= buf[k] <= 57:
-                        k += 1
-                    if k > i + 4:
-                        n = int(buf[i + 4 : k])
-                        i = k + (1 if buf[k : k + 1] == b" " else 0) + n
-                        continue
-                i += 2
-                continue
-            i += 1
-        at = start + (min(i, len(buf)) if parity and i <= len(buf) + 1 else i)
+            elif not parity and i > 1 and i - 1 + word > len(buf) and at + len(buf) < v.limit:
+                after = at + i - 1
+            else:
+                raw = _RTF_BIN.match(buf, i - 1, i - 1 + word)
+                if raw and int(raw[1]) < 1 << 64:
+                    after = at + raw.end() + int(raw[1])
+                i += 1
+        at = after if after >= 0 else at + (len(buf) if parity else max(i, len(buf)))
     return None
 
 
@@ -227,15 +225,15 @@ def ole(v: View, parity: bool = False) -> Found | None:
         raw = v.read(at, sector)
         return [int.from_bytes(raw[k : k + 4], "little") for k in range(0, sector, 4)] if len(raw) == sector else None
 
-    fat = [s for s in (v.le(76 + 4 * k, 4) for k in range(109)) if s < last]
+    fat = [s for s in (v.le(76 + 4 * k, 4) for k in range(109)) if s != none]
     chain, hops, seen = v.le(68, 4), v.le(72, 4), set()
     most = min(hops + 4, v.limit // sector + 1)
-    while hops and chain < last and chain not in seen and len(seen) < most:
+    while chain not in (none, last) and chain not in seen and len(seen) < most:
         seen.add(chain)
         entries = words((chain + 1) * sector)
         if entries is None:
             return loose
-        fat += [s for s in entries[:-1] if s < last]
+        fat += [s for s in entries[:-1] if s != none]
         chain = entries[-1]
     top = -1
     for k, s in enumerate(fat):
@@ -293,6 +291,9 @@ def zip_(v: View, parity: bool = False) -> Found | None:
         k = at
         while v.read(k, 4) == b"PK\x01\x02" and len(v.read(k, 46)) == 46:
             k += 46 + v.le(k + 28, 2) + v.le(k + 30, 2) + v.le(k + 32, 2)
+            if k > v.limit:  # the directory runs off the end
+                k = at
+                break
         if v.read(k, 4) == b"PK\x06\x06":
             k += 12 + v.le(k + 4, 8)
             if v.read(k, 4) == b"PK\x06\x07":
@@ -301,6 +302,7 @@ def zip_(v: View, parity: bool = False) -> Found | None:
             end = k + 22 + v.le(k + 20, 2)
             if end <= v.limit:
                 return named(end, True)
+        at = min(max(at, k), v.limit)  # a directory without its end record: the carve ends behind it
     k = v.find(b"PK\x05\x06", 0)
     while k >= 0:
         if len(v.read(k, 22)) == 22 and v.le(k + 16, 4) + v.le(k + 12, 4) == k:
@@ -380,7 +382,7 @@ def sqlite(v: View, parity: bool = False) -> Found | None:
 
 def mp4(v: View, parity: bool = False) -> Found | None:
     """``parity``: three-byte brands never match four bytes, so 3gp, 3g2 and f4v files are named mp4."""
-    at = boxes = first = 0
+    at = boxes = 0
     while at + 8 <= v.limit:
         size, kind = v.be(at, 4), v.read(at + 4, 4)
         if kind not in MP4_BOXES:
@@ -391,12 +393,11 @@ def mp4(v: View, parity: bool = False) -> Found | None:
             size = v.limit - at
         if size < 8 or at + size > v.limit:
             return None
-        first = first or size
         at += size
         boxes += 1
     if boxes < 2:
         return None
-    brands = v.read(8, max(0, min(first, 64) - 8))
+    brands = v.read(8, max(0, min(v.be(0, 4), 64) - 8))  # none if the first box gives its size elsewhere
     order = [brands[k : k + 4] for k in range(0, len(brands) - 3, 4)]
     for have in order:
         for brand, ext in MP4_BRANDS:

@@ -30,6 +30,7 @@ class Options:
     dedup: bool = True
     skip_blank: bool = True
     parity: bool = False
+    on_corrupt: str = "fail"  # an EWF chunk that does not decode: "fail", or "skip" (it reads as zeros and is counted)
 
     def end(self, size: int) -> int:
         return min(self.start + self.length, size) if self.length else size
@@ -93,23 +94,32 @@ class Matcher:
 
 @dataclass
 class Candidate:
+    """``size`` 0: a candidate that was tried and rejected. ``hidden``: the last magic that was put off behind this one
+    (it starts inside this validated carve and comes after it), null if there is none."""
+
     ord: int  # place of the magic: the order of processing
     type: str
     offset: int
     size: int
     ext: str
     validated: bool
+    hidden: int | None = None
 
 
 @dataclass
 class Tally:
-    rejected: int = 0
+    """What a scan passed over: bytes of blank chunks, and source chunks that could not be decoded."""
+
     blank_bytes: int = 0
+    corrupt: int = 0
 
 
-def scan_chunk(source, options: Options, matcher: Matcher, base: int, tally: Tally | None = None) -> Iterator[Candidate]:
-    """Walked candidates whose magic lies in the chunk at ``base``. Chunks are disjoint, so each is found once."""
-    tally = tally or Tally()
+def scan_chunk(source, options: Options, matcher: Matcher, base: int, tally: Tally, outer: list[Candidate], after: int = -1, upto: int | None = None) -> Iterator[Candidate]:
+    """Walked candidates whose magic lies in the chunk at ``base``. Chunks are disjoint, so each is found once.
+
+    ``outer`` holds the last validated carve: candidates that start inside it are put off, not walked, and noted in its
+    ``hidden``. Only magics behind ``after`` and up to ``upto`` count.
+    """
     end = options.end(source.size)
     limit = min(options.chunk_size, end - base)
     back = 0 if options.parity else min(4, base)
@@ -119,8 +129,10 @@ def scan_chunk(source, options: Options, matcher: Matcher, base: int, tally: Tal
         return
     look = buf[back:]
     for i, magic in matcher.matches(look):
-        if i >= limit:
+        if i >= limit or (upto is not None and base + i > upto):
             break
+        if base + i <= after:
+            continue
         for name in matcher.owners[magic]:
             sig = SIGNATURES[name]
             start = base + i - sig.header_offset
@@ -128,22 +140,67 @@ def scan_chunk(source, options: Options, matcher: Matcher, base: int, tally: Tal
                 continue
             if sig.precheck and not sig.precheck(buf, i + back):
                 continue
+            if outer and start < outer[0].offset + outer[0].size:
+                outer[0].hidden = base + i
+                continue
             cap = min(sig.max_size, end - start, *([options.max_size] if options.max_size else []))
             found = sig.walk(View(source.pread, source.size, start, cap), options.parity) if cap > 0 else None
             size = min(found.size, source.size - start) if found else 0
             if size < max(options.min_size, 1):
-                tally.rejected += 1
+                yield Candidate(base + i, name, start, 0, "", False)
                 continue
-            yield Candidate(base + i, name, start, size, found.ext, found.validated)
+            now = Candidate(base + i, name, start, size, found.ext, found.validated)
+            if options.skip_carved and found.validated:
+                outer[:] = [now]
+            yield now
             break
 
 
-def scan(source, options: Options, first: int = 0, chunks: int | None = None) -> Iterator[Candidate]:
-    """All walked candidates of ``chunks`` chunks of the grid, from the ``first``-th on."""
-    matcher = Matcher(options.types)
+def _settled(found: Iterator[Candidate], outer: list[Candidate]) -> Iterator[Candidate]:
+    """``found`` with each validated carve given out only when it is known what it hides."""
+    held = None
+    for c in found:
+        if not (outer and outer[0] is c):
+            yield c
+            continue
+        if held:
+            yield held
+        held = c
+    if held:
+        yield held
+
+
+def scan(source, options: Options, first: int = 0, chunks: int | None = None, tally: Tally | None = None) -> Iterator[Candidate]:
+    """The candidates of ``chunks`` chunks of the grid, from the ``first``-th on, rejected ones too.
+
+    With ``skip_carved`` what starts inside an earlier validated carve of the range is not walked, so a file with many
+    nested headers is walked once. The selection asks for it again (``rescan``) if the outer carve is itself dropped.
+    """
+    tally = tally if tally is not None else Tally()
+    matcher, outer = Matcher(options.types), []
     end = options.end(source.size)
-    base = options.start + first * options.chunk_size
-    while base < end and (chunks is None or chunks > 0):
-        yield from scan_chunk(source, options, matcher, base)
-        base += options.chunk_size
-        chunks = None if chunks is None else chunks - 1
+    low = options.start + first * options.chunk_size
+    high = end if chunks is None else min(end, low + chunks * options.chunk_size)
+
+    def every() -> Iterator[Candidate]:
+        for base in range(low, high, options.chunk_size):
+            yield from scan_chunk(source, options, matcher, base, tally, outer)
+
+    yield from _settled(every(), outer)
+    # each belongs to the task whose range it begins in
+    tally.corrupt += sum(low <= k * source.chunk_size < high for k in getattr(source, "bad", ()))
+
+
+def rescan(source, options: Options, after: int, upto: int, below: int) -> Iterator[Candidate]:
+    """Candidates that a dropped carve hid: magics behind ``after``, up to ``upto``, that start below ``below``."""
+    matcher, outer = Matcher(options.types), []
+
+    def every() -> Iterator[Candidate]:
+        base = options.start + (after - options.start) // options.chunk_size * options.chunk_size
+        while base <= upto:
+            for c in scan_chunk(source, options, matcher, base, Tally(), outer, after, upto):
+                if c.offset < below:
+                    yield c
+            base += options.chunk_size
+
+    yield from _settled(every(), outer)

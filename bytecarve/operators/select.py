@@ -47,32 +47,47 @@ def _running(df: DataFrame, value: Column, name: str, order: list[Column], place
     return cut(df.withColumn(name, best("__i", "__w")).drop("__v", "__b", "__i", "__w"))
 
 
-def _folded(candidates: DataFrame, keys: list[str]) -> DataFrame:
-    """Serial selection inside each of ``keys``, over the sorted stream of a partition: one number is held, not a group."""
+def _folded(candidates: DataFrame, keys: list[str], woken: bool) -> DataFrame:
+    """Serial selection inside each of ``keys``, over the sorted stream of a partition: one number is held, not a group.
+
+    ``woken``: dropped rows that hide others and end beyond ``free`` are given out as well (see ``skip_ahead``).
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, free = None, -1
         for rows in batches:
-            keep = np.zeros(len(rows), bool)
+            keep, told = np.zeros(len(rows), bool), np.zeros(len(rows), np.int64)
             for k, (now, offset, size, sure) in enumerate(zip(zip(*(rows[c] for c in keys)), rows.offset, rows["size"], rows.validated)):
                 if now != key:
                     key, free = now, -1
+                told[k] = free
                 if offset >= free:
                     keep[k] = True
                     if sure:
                         free = offset + size
-            yield rows[keep]
+            if woken:
+                also = rows.hidden.notna().to_numpy() & (told < (rows.offset + rows["size"]).to_numpy())
+                yield rows.assign(dropped=~keep, free=told)[keep | also]
+            else:
+                yield rows[keep]
+
+    schema = candidates.schema if not woken else candidates.select("*", F.lit(True).alias("dropped"), F.lit(0).cast("long").alias("free")).schema
+    return candidates.repartition(*keys).sortWithinPartitions(*keys, "ord", "offset").mapInPandas(run, schema)
+
 
-    return candidates.repartition(*keys).sortWithinPartitions(*keys, "ord", "offset").mapInPandas(run, candidates.schema)
+def woken() -> Column:
+    """Rows of ``skip_ahead(..., woken=True)`` whose hidden candidates are to be walked after all."""
+    return F.col("dropped") & F.col("hidden").isNotNull() & (F.col("free") < F.col("offset") + F.col("size"))
 
 
-def skip_ahead(candidates: DataFrame) -> DataFrame:
+def skip_ahead(candidates: DataFrame, woken: bool = False) -> DataFrame:
     """Keep candidates in order of ``ord``; after a validated one, drop those that start before its end.
 
-    Rows fall into islands that no earlier validated end reaches into; islands of one row need no fold.
+    Rows fall into islands that no earlier validated end reaches into; islands of one row need no fold. ``woken`` adds the
+    columns ``dropped`` and ``free`` (the place from which on carving was allowed) and keeps the dropped rows for which ``woken()`` holds.
     """
     if _small(candidates):
-        return _folded(candidates, KEY)
+        return _folded(candidates, KEY, woken)
     columns = candidates.columns
     end = F.when(F.col("validated"), F.col("offset") + F.col("size"))
     order = [F.col("ord"), F.col("offset")]
@@ -83,8 +98,11 @@ def skip_ahead(candidates: DataFrame) -> DataFrame:
     df = df.withColumn("island", F.coalesce("__head", "__before"))
     sizes = df.groupBy(*KEY, "island").agg(F.count(F.lit(1)).alias("__n"))
     df = df.drop("__reach", "__low", "__head", "__before").join(sizes, [*KEY, "island"])
-    many = _folded(df.where("__n > 1").select(*columns, "island"), [*KEY, "island"]).select(*columns)
-    return df.where("__n = 1").select(*columns).unionByName(many)
+    many = _folded(df.where("__n > 1").select(*columns, "island"), [*KEY, "island"], woken).drop("island")
+    alone = df.where("__n = 1").select(*columns)
+    if woken:
+        alone = alone.withColumns({"dropped": F.lit(False), "free": F.lit(-1).cast("long")})
+    return alone.unionByName(many)
 
 
 def containment(records: DataFrame) -> DataFrame:

@@ -12,9 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import registry as R
-from ..functions.samples import SAMPLES, VARIANTS, png, zip_
+from ..functions.registry import SIGNATURES
+from ..functions.samples import LOOSE, REJECTED, SAMPLES, VARIANTS, patched, png, zip_
 from ..operators.select import containment, mark_duplicates, skip_ahead
+from . import images, tables
 from .carve import carve_column, summary
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,19 +86,6 @@ def q_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_duplicates(_intervals(spark, sf_dir)).select("source_id", "ord", "offset", "sha256", "duplicate_of")
 
 
-def q_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.registry(spark).select("ord", "name", F.transform("magics", lambda m: F.hex(m)).alias("m"), "header_offset", "max_size", "has_precheck", "description").withColumn("magics", F.array_join("m", ",")).drop("m")
-
-
-def q_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.groups(spark).withColumnRenamed("group", "group_name")
-
-
-def q_resolve_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = R.resolve_types("docs, JPEG,images ,mov")
-    return spark.createDataFrame(list(enumerate(names)), "ord int, name string")
-
-
 _NESTED = zip_("img.png", png())
 
 
@@ -130,32 +118,45 @@ def q_min_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return carve_column(image, "doc_id", "image", "png,pdf", min_size=len(png()) + 1).select(*COLUMNS)
 
 
+def q_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One of the headers that no file follows in each document, all types on, and a whole png behind it."""
+    heads = F.array(*[F.lit(data) for _, data in REJECTED.values()])
+    head = F.get(heads, F.pmod("doc_id", F.lit(len(REJECTED))).cast("int"))
+    pad = F.lit(bytes(PAD))
+    image = _documents(spark, sf_dir).select("doc_id", F.concat(pad, F.encode(F.coalesce("text", F.lit("")), "UTF-8"), head, pad, F.lit(png()), pad).alias("image"))
+    return carve_column(image, "doc_id", "image", ",".join(SIGNATURES)).select(*COLUMNS)
+
+
+#: A png whose last chunk claims more bytes than the image has.
+_OVERRUN = patched(png(), len(png()) - 12, b"\0\0\x70\0")
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {f"carve_{k}": _planted(k, data) for k, (data, _) in SAMPLES.items()}
     out |= {f"ext_{k}": _planted(kind, data) for k, (kind, data, _) in VARIANTS.items()}
+    out |= {f"loose_{k}": _planted(kind, data) for k, (kind, data, _, _) in LOOSE.items()}
+    out |= tables.queries() | images.queries()
     out |= {
-        "registry": q_registry, "groups": q_groups, "resolve_types": q_resolve_types, "containment": q_containment, "skip_ahead": q_skip_ahead, "dedup": q_dedup,
+        "rejected": q_rejected, "overrun": _planted("png", _OVERRUN), "containment": q_containment, "skip_ahead": q_skip_ahead, "dedup": q_dedup,
         "nested_skip": q_nested(True), "nested_no_skip": q_nested(False), "duplicates": q_duplicates, "manifest_summary": q_all_types, "align": q_align, "offset_length": q_range, "min_size": q_min_size,
     }
     return out
 
 
-def _list(rows: list[tuple]) -> str:
-    def one(x) -> str:
-        return ("true" if x else "false") if isinstance(x, bool) else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
-
-    return ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
+def _loose(kind: str, data: bytes, ext: str, size: int | None) -> str:
+    """A file without a definite end: of ``size`` bytes, or all that is left of the image."""
+    body = data[:size] if size else data + bytes(PAD)
+    return _truth(kind, body, ext).replace("true AS validated, 'high'", "false AS validated, 'low'")
 
 
 def oracle_sql() -> dict[str, str]:
     out = {f"carve_{k}": _truth(k, data, ext) for k, (data, ext) in SAMPLES.items()}
     out |= {f"ext_{k}": _truth(kind, data, ext) for k, (kind, data, ext) in VARIANTS.items()}
-    reg = [(k, s.name, ",".join(m.hex().upper() for m in s.magics), s.header_offset, s.max_size, s.precheck is not None, s.description) for k, s in enumerate(R.SIGNATURES.values())]
-    out["registry"] = f"SELECT CAST(ord AS INTEGER) AS ord, name, magics, CAST(header_offset AS BIGINT) AS header_offset, CAST(max_size AS BIGINT) AS max_size, has_precheck, description FROM (VALUES {_list(reg)}) t(ord, name, magics, header_offset, max_size, has_precheck, description)"
-    rows = [(g, k, n) for g, names in R.GROUPS.items() for k, n in enumerate(names)]
-    out["groups"] = f"SELECT group_name, CAST(ord AS INTEGER) AS ord, name FROM (VALUES {_list(rows)}) t(group_name, ord, name)"
-    named = ["ole", "zip", "pdf", "rtf", "jpg", "png", "gif", "bmp", "tif", "ico", "mp4"]
-    out["resolve_types"] = f"SELECT CAST(ord AS INTEGER) AS ord, name FROM (VALUES {_list(list(enumerate(named)))}) t(ord, name)"
+    out |= {f"loose_{k}": _loose(*row) for k, row in LOOSE.items()}
+    out |= tables.oracle_sql() | images.oracle_sql()
+    size = " ".join(f"WHEN {k} THEN {len(data)}" for k, (_, data) in enumerate(REJECTED.values()))
+    out["rejected"] = _truth("png", png(), "png").replace("octet_length", f"CASE doc_id % {len(REJECTED)} {size} END + {PAD} + octet_length", 1)
+    out["overrun"] = _truth("png", _OVERRUN + bytes(PAD), "png")
     out["containment"] = f"""WITH {_INTERVALS}, c AS (SELECT *, max(CASE WHEN validated THEN "offset" + size END) OVER (PARTITION BY source_id
         ORDER BY "offset", size DESC, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cov FROM iv)
         SELECT source_id, ord, "offset", size, validated FROM c WHERE cov IS NULL OR "offset" + size > cov"""
@@ -174,7 +175,8 @@ def oracle_sql() -> dict[str, str]:
     out["duplicates"] = f"""SELECT CAST(doc_id AS VARCHAR) AS source_id, {_at()} AS "offset", '{_sha(png())}' AS sha256, CAST(NULL AS BIGINT) AS duplicate_of FROM documents
         UNION ALL SELECT CAST(doc_id AS VARCHAR), {_at(second)}, '{_sha(png())}', {_at()} FROM documents"""
     picked = [(ext, len(data)) for data, ext in (SAMPLES[k] for k in ("png", "pdf", "zip", "gz", "ogg"))]
-    out["manifest_summary"] = f"SELECT ext, 'high' AS confidence, count(*) AS files, CAST(0 AS BIGINT) AS duplicates, CAST(sum(size) AS BIGINT) AS bytes FROM documents, (VALUES {_list(picked)}) t(ext, size) GROUP BY ext"
+    values = ", ".join(f"('{ext}', {n})" for ext, n in picked)
+    out["manifest_summary"] = f"SELECT ext, 'high' AS confidence, count(*) AS files, CAST(0 AS BIGINT) AS duplicates, CAST(sum(size) AS BIGINT) AS bytes FROM documents, (VALUES {values}) t(ext, size) GROUP BY ext"
     out["align"] = f"SELECT * FROM ({_truth('png', png(), 'png')}) WHERE \"offset\" % 4 = 0"
     out["offset_length"] = f"SELECT * FROM ({_truth('png', png(), 'png')}) WHERE \"offset\" >= 1024 AND \"offset\" + size <= 5120"
     out["min_size"] = _truth("pdf", SAMPLES["pdf"][0], "pdf", len(png()) + PAD) if len(SAMPLES["pdf"][0]) > len(png()) else f"SELECT * FROM ({_truth('pdf', b'', 'pdf')}) WHERE false"

@@ -1,23 +1,28 @@
 """The Python data source ``bytecarve``: walked candidates of a byte source, partitioned by chunk ranges.
 
-Bytes never become a column: each task reads its own chunks by path and yields only the candidates.
+Bytes never become a column: each task reads its own chunks by path and yields only the candidates. Rows with size 0
+are candidates that were tried and rejected; rows without a type are a task's counters (ext names the counter,
+size holds it). Without skip_carved, bounds of offset are pushed down where the session
+allows it (spark.sql.python.filterPushdown.enabled): tasks outside of them are left out.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
-from ..operators.scan import Options, scan
+from ..operators.scan import Options, Tally, scan
 from .readers import open_source, opened
 
 SCHEMA = "source_id string, ord long, type string, offset long, size long, ext string, validated boolean"
 FIELDS = ["source_id", "ord", "type", "offset", "size", "ext", "validated"]
-_ARROW = pa.schema([("source_id", pa.string()), ("ord", pa.int64()), ("type", pa.string()), ("offset", pa.int64()), ("size", pa.int64()), ("ext", pa.string()), ("validated", pa.bool_())])
+#: Rows of the source itself: ``hidden`` is the last magic that a validated carve kept from being walked.
+FOUND = SCHEMA + ", hidden long"
+_ARROW = pa.schema([("source_id", pa.string()), ("ord", pa.int64()), ("type", pa.string()), ("offset", pa.int64()), ("size", pa.int64()), ("ext", pa.string()), ("validated", pa.bool_()), ("hidden", pa.int64())])
 BATCH = 8192
 
 
@@ -40,20 +45,39 @@ class ChunkRange(InputPartition):
 class CandidateReader(DataSourceReader):
     def __init__(self, paths: list[str], options: Options, per_task: int) -> None:
         self.paths, self.options, self.per_task = paths, options, per_task
+        self.low, self.high = 0, None
 
     def partitions(self) -> list[InputPartition]:
-        out = []
+        out, o = [], self.options
+        step = o.chunk_size * self.per_task
         for path in self.paths:
-            source = open_source(path)
-            n = -(-(self.options.end(source.size) - self.options.start) // self.options.chunk_size)
-            out += [ChunkRange(path, k, self.per_task) for k in range(0, max(n, 0), self.per_task)]
+            end = o.end(open_source(path, o.on_corrupt).size)
+            for base in range(o.start, end, step):
+                # a file starts at its magic or up to four bytes before it
+                if base + step > self.low and (self.high is None or base <= self.high + 4):
+                    out.append(ChunkRange(path, (base - o.start) // o.chunk_size, self.per_task))
         return out or [ChunkRange("", 0, 0)]
 
     def read(self, partition: ChunkRange) -> Iterator[pa.RecordBatch]:
         if not partition.chunks:
             return
-        rows = scan(opened(partition.path), self.options, partition.first, partition.chunks)
-        yield from candidate_batches((partition.path, c.ord, c.type, c.offset, c.size, c.ext, c.validated) for c in rows)
+        tally, path = Tally(), partition.path
+        rows = scan(opened(path, self.options.on_corrupt), self.options, partition.first, partition.chunks, tally)
+        yield from candidate_batches((path, c.ord, c.type, c.offset, c.size, c.ext, c.validated, c.hidden) for c in rows)
+        told = [(path, partition.first, None, 0, n, name, False, None) for name, n in (("blank", tally.blank_bytes), ("corrupt", tally.corrupt)) if n]
+        yield from candidate_batches(iter(told))
+
+
+class PushingReader(CandidateReader):
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Bounds of ``offset`` leave whole tasks out, but only where every candidate is walked: else they would change what others hide."""
+        for f in filters:
+            if not self.options.skip_carved and getattr(f, "attribute", None) == ("offset",):
+                if isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                    self.low = max(self.low, f.value)
+                elif isinstance(f, (LessThan, LessThanOrEqual)):
+                    self.high = f.value if self.high is None else min(self.high, f.value)
+            yield f  # Spark still checks every row
 
 
 class CandidateSource(DataSource):
@@ -62,14 +86,16 @@ class CandidateSource(DataSource):
         return "bytecarve"
 
     def schema(self) -> str:
-        return SCHEMA
+        return FOUND
 
     def reader(self, schema) -> DataSourceReader:
         told = json.loads(self.options.get("carve", "{}"))
         if "types" in told:
             told["types"] = tuple(told["types"])
         paths = json.loads(self.options["paths"]) if "paths" in self.options else [self.options["path"]]
-        return CandidateReader(paths, Options(**told), int(self.options.get("chunkspertask", "1")))
+        # Spark refuses a reader that takes filters in a session that pushes none
+        kind = PushingReader if self.options.get("pushdown", "false") == "true" else CandidateReader
+        return kind(paths, Options(**told), int(self.options.get("chunkspertask", "1")))
 
 
 def register(spark: SparkSession) -> None:

@@ -1,4 +1,7 @@
-"""Byte sources: raw files and devices, and segmented EWF sets, as read-only random access."""
+"""Byte sources: raw files and devices, and segmented EWF sets, as read-only random access.
+
+Paths are local to every executor (a shared mount), or URIs of a file system that pyarrow knows (hdfs://, s3://, file://).
+"""
 
 from __future__ import annotations
 
@@ -9,6 +12,9 @@ import zlib
 from collections import OrderedDict
 from collections.abc import Iterator
 
+import numpy as np
+from pyarrow import fs
+
 # fixed values: containers that must not be carved as raw bytes
 CONTAINER_MAGICS = ((b"EVF2\r\n\x81\x00", "Ex01"), (b"LVF\t\r\n\xff\x00", "L01"), (b"QFI\xfb", "QCOW2"), (b"KDMV", "VMDK"), (b"conectix", "VHD"), (b"vhdxfile", "VHDX"))
 CONTAINER_SUFFIXES = {".ex01": "Ex01", ".l01": "L01", ".qcow2": "QCOW2", ".vmdk": "VMDK", ".vhd": "VHD", ".vhdx": "VHDX", ".aff": "AFF"}
@@ -32,23 +38,65 @@ def looks_like_ewf(path: str, head: bytes) -> bool:
     return head.startswith(EWF_MAGIC) or path.lower().endswith(EWF_SUFFIXES)
 
 
-class RawSource:
+class LocalFile:
     """A file or a block device."""
 
-    kind, segments = "raw", 1
+    def __init__(self, path: str) -> None:
+        self.fd = os.open(path, os.O_RDONLY)
+        told = os.fstat(self.fd)
+        self.device = not stat.S_ISREG(told.st_mode)
+        self.size = os.lseek(self.fd, 0, os.SEEK_END) if self.device else told.st_size
+
+    def pread(self, at: int, n: int) -> bytes:
+        return os.pread(self.fd, n, at)
+
+    def __del__(self) -> None:
+        if getattr(self, "fd", -1) >= 0:
+            os.close(self.fd)
+
+
+class UriFile:
+    """An object of a remote file system."""
+
+    device = False
+
+    def __init__(self, uri: str) -> None:
+        system, path = fs.FileSystem.from_uri(uri)
+        self.stream = system.open_input_file(path)
+        self.size = self.stream.size()
+
+    def pread(self, at: int, n: int) -> bytes:
+        return self.stream.read_at(min(n, max(0, self.size - at)), at)
+
+
+def plain(path: str) -> str:
+    """A ``file:`` URI as a path."""
+    return "/" + path[5:].lstrip("/") if path.startswith("file:") else path
+
+
+def open_file(path: str) -> LocalFile | UriFile:
+    path = plain(path)
+    return UriFile(path) if "://" in path else LocalFile(path)
+
+
+def exists(path: str) -> bool:
+    path = plain(path)
+    if "://" not in path:
+        return os.path.exists(path)
+    system, inner = fs.FileSystem.from_uri(path)
+    return system.get_file_info(inner).type != fs.FileType.NotFound
+
+
+class RawSource:
+    """A file, an object, or a block device."""
+
+    segments = 1
 
     def __init__(self, path: str) -> None:
         self.path = path
-        self.fd = os.open(path, os.O_RDONLY)
-        mode = os.fstat(self.fd).st_mode
-        if stat.S_ISREG(mode):
-            self.size = os.fstat(self.fd).st_size
-        else:
-            self.kind = "device"
-            self.size = os.lseek(self.fd, 0, os.SEEK_END)
+        self.file = open_file(path)
+        self.kind, self.size = "device" if self.file.device else "raw", self.file.size
         if not self.size:
-            os.close(self.fd)
-            self.fd = -1
             raise SourceError(f"{path}: cannot determine size")
 
     def pread(self, at: int, n: int) -> bytes:
@@ -57,7 +105,7 @@ class RawSource:
         n = min(n, self.size - at)
         while n > 0:
             try:
-                got = os.pread(self.fd, n, at)
+                got = self.file.pread(at, n)
             except OSError:
                 break
             if not got:
@@ -69,10 +117,6 @@ class RawSource:
     def describe(self) -> str:
         return " (device)" if self.kind == "device" else ""
 
-    def __del__(self) -> None:
-        if getattr(self, "fd", -1) >= 0:
-            os.close(self.fd)
-
 
 def segment_names(kind: str) -> Iterator[str]:
     """Extensions of a set in order: E01..E99, EAA..EZZ, FAA..ZZZ, in the case of ``kind``."""
@@ -92,81 +136,82 @@ def segment_paths(path: str) -> list[str]:
         return [path]
     out = []
     for name in segment_names(ext[1]):
-        if not os.path.exists(f"{stem}.{name}"):
+        if not exists(f"{stem}.{name}"):
             break
         out.append(f"{stem}.{name}")
     return out or [path]
 
 
 class EwfSource:
-    """An EWF (Expert Witness) set: the chunk table of all segments, chunks inflated on demand."""
+    """An EWF (Expert Witness) set: the chunk table of all segments (13 bytes a chunk), chunks inflated on demand."""
 
     kind = "ewf"
     KEPT = 16
 
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, path: str, on_corrupt: str = "fail") -> None:
+        self.path, self.on_corrupt, self.bad = path, on_corrupt, set()
         self.paths = segment_paths(path)
         self.segments = len(self.paths)
-        self.files = [os.open(p, os.O_RDONLY) for p in self.paths]
-        self.lengths = [os.fstat(f).st_size for f in self.files]
-        self.table: list[tuple[int, int, bool]] = []  # segment, offset, compressed
+        self.files = [open_file(p) for p in self.paths]
         self.chunk_size = self.declared = self.sectors = self.sectors_32 = self.sector_size = 0
+        tables: list[tuple[int, np.ndarray, np.ndarray]] = []
         for k in range(self.segments):
-            self._walk(k)
-        if not self.chunk_size or not self.table:
+            self._walk(k, tables)
+        self.chunks = sum(len(t[1]) for t in tables)
+        if not self.chunk_size or not self.chunks:
             raise SourceError(f"{path}: no EWF chunk table found")
-        if len(self.table) < self.declared:
-            share = 100 * len(self.table) / self.declared
-            raise SourceError(f"{path}: incomplete EWF set, {len(self.table)} of {self.declared} chunks ({share:.1f}%), last segment {os.path.basename(self.paths[-1])}")
-        bound = len(self.table) * self.chunk_size
+        if self.chunks < self.declared:
+            share = 100 * self.chunks / self.declared
+            raise SourceError(f"{path}: incomplete EWF set, {self.chunks} of {self.declared} chunks ({share:.1f}%), last segment {os.path.basename(self.paths[-1])}")
+        self.segment_of = np.repeat(np.array([t[0] for t in tables], np.int32), [len(t[1]) for t in tables])
+        self.place = np.concatenate([t[1] for t in tables])
+        self.packed = np.concatenate([t[2] for t in tables])
+        bound = self.chunks * self.chunk_size
         self.size = next((n for n in (self.sectors * self.sector_size, self.sectors_32 * self.sector_size) if bound - self.chunk_size < n <= bound), bound)
         self.cache: OrderedDict[int, bytes] = OrderedDict()
 
-    def _walk(self, segment: int) -> None:
-        fd, at, seen = self.files[segment], 13, set()
+    def _walk(self, segment: int, tables: list[tuple[int, np.ndarray, np.ndarray]]) -> None:
+        file, at, seen = self.files[segment], 13, set()
         while at not in seen:
             seen.add(at)
-            head = os.pread(fd, 76, at)
+            head = file.pread(at, 76)
             if len(head) < 76:
                 break
             kind, following = head[:16].rstrip(b"\0"), struct.unpack_from("<Q", head, 16)[0]
             if kind in (b"volume", b"disk") and not self.chunk_size:
-                body = os.pread(fd, 94, at + 76)
+                body = file.pread(at + 76, 94)
                 if len(body) >= 24:
                     self.declared, per_chunk, self.sector_size = struct.unpack_from("<III", body, 4)
                     self.sector_size = self.sector_size or 512
                     self.chunk_size = per_chunk * self.sector_size
                     self.sectors, self.sectors_32 = struct.unpack_from("<Q", body, 16)[0], struct.unpack_from("<I", body, 16)[0]
             elif kind == b"table":
-                self._table(segment, at + 76)
+                head = file.pread(at + 76, 24)
+                n, base = struct.unpack_from("<I4xQ", head) if len(head) == 24 else (0, 0)
+                if 0 < n <= 1 << 24 and base < 1 << 62:
+                    raw = file.pread(at + 100, 4 * n)
+                    entry = np.frombuffer(raw, "<u4", len(raw) // 4)
+                    tables.append((segment, (entry & np.uint32(0x7FFFFFFF)).astype(np.int64) + base, entry >> np.uint32(31) > 0))
             if not following:
                 break
             at = following
 
-    def _table(self, segment: int, at: int) -> None:
-        head = os.pread(self.files[segment], 24, at)
-        if len(head) < 24:
-            return
-        n, base = struct.unpack_from("<I", head)[0], struct.unpack_from("<Q", head, 8)[0]
-        if not 0 < n <= 1 << 24:
-            return
-        raw = os.pread(self.files[segment], 4 * n, at + 24)
-        for (e,) in struct.iter_unpack("<I", raw[: len(raw) // 4 * 4]):
-            self.table.append((segment, base + (e & 0x7FFFFFFF), bool(e >> 31)))
-
     def chunk(self, k: int) -> bytes:
-        """A decoded chunk. One that does not inflate is an error, never a silent end of the source."""
+        """A decoded chunk. One that does not inflate is an error, or zeros and a note in ``bad``, never a silent end of the source."""
         got = self.cache.get(k)
         if got is None:
-            segment, at, packed = self.table[k]
-            following = self.table[k + 1] if k + 1 < len(self.table) else None
-            end = following[1] if following and following[0] == segment and following[1] > at else self.lengths[segment]
-            raw = os.pread(self.files[segment], min(end - at, 2 * self.chunk_size + 1024), at)
+            segment, at = int(self.segment_of[k]), int(self.place[k])
+            end = self.files[segment].size
+            if k + 1 < self.chunks and self.segment_of[k + 1] == segment and self.place[k + 1] > at:
+                end = int(self.place[k + 1])
+            raw = self.files[segment].pread(at, max(0, min(end - at, 2 * self.chunk_size + 1024)))
             try:
-                got = zlib.decompressobj().decompress(raw) if packed else raw[: self.chunk_size]
+                got = zlib.decompressobj().decompress(raw, self.chunk_size) if self.packed[k] else raw[: self.chunk_size]
             except zlib.error as e:
-                raise SourceError(f"{self.path}: chunk {k} is corrupt: {e}") from None
+                if self.on_corrupt != "skip":
+                    raise SourceError(f"{self.path}: chunk {k} is corrupt: {e}") from None
+                got = bytes(self.chunk_size)
+                self.bad.add(k)
             self.cache[k] = got
             if len(self.cache) > self.KEPT:
                 self.cache.popitem(last=False)
@@ -186,10 +231,6 @@ class EwfSource:
     def describe(self) -> str:
         return f" (EWF, {self.segments} segment{'s' if self.segments > 1 else ''})"
 
-    def __del__(self) -> None:
-        for f in getattr(self, "files", []):
-            os.close(f)
-
 
 class BytesSource:
     """Bytes in memory, such as a value of a binary column."""
@@ -206,23 +247,23 @@ class BytesSource:
         return ""
 
 
-def open_source(path: str) -> RawSource | EwfSource:
+def open_source(path: str, on_corrupt: str = "fail") -> RawSource | EwfSource:
     """Open a path; refuses container formats that would only give fragments of themselves."""
-    with open(path, "rb") as f:
-        head = f.read(16)
+    head = open_file(path).pread(0, 16)
     kind = container_kind(path, head)
     if kind:
         raise SourceError(f"{path}: cannot read {kind} containers")
-    return EwfSource(path) if looks_like_ewf(path, head) else RawSource(path)
+    return EwfSource(path, on_corrupt) if looks_like_ewf(path, head) else RawSource(path)
 
 
-_OPEN: OrderedDict[str, RawSource | EwfSource] = OrderedDict()
+_OPEN: OrderedDict[tuple[str, str], RawSource | EwfSource] = OrderedDict()
 
 
-def opened(path: str) -> RawSource | EwfSource:
+def opened(path: str, on_corrupt: str = "fail") -> RawSource | EwfSource:
     """The worker's open source of a path (a few are kept)."""
-    if path not in _OPEN:
-        _OPEN[path] = open_source(path)
+    key = (path, on_corrupt)
+    if key not in _OPEN:
+        _OPEN[key] = open_source(path, on_corrupt)
         if len(_OPEN) > 8:
             _OPEN.popitem(last=False)
-    return _OPEN[path]
+    return _OPEN[key]

@@ -5,18 +5,22 @@ import hashlib
 import json
 import random
 import struct
+import time
 import zlib
 
 import pytest
 
+from bytecarve.cli import main
 from bytecarve.functions import samples as S
 from bytecarve.functions.registry import SIGNATURES, resolve_types
 from bytecarve.functions.view import View
 from bytecarve.operators.scan import Matcher, Options, parse_size, scan
 from bytecarve.operators.select import containment, skip_ahead
 from bytecarve.operators.sinks import json_rows, write_files, write_manifest
-from bytecarve.plans.carve import carve, carve_column, fold
+from bytecarve.plans.carve import candidates, carve, carve_column, carve_counted, fold, make_options
+from bytecarve.plans.sql import register
 from bytecarve.sources.readers import BytesSource, EwfSource, SourceError, container_kind, open_source, segment_names
+from bytecarve.streaming.incremental import carve_stream
 
 
 def walk(kind, data, cap=None):
@@ -244,3 +248,161 @@ def test_refused_containers(tmp_path):
 def test_gzip_bomb_stays_bounded():
     data = gzip.compress(bytes(20 << 20), mtime=0)
     assert walk("gz", data + b"rest").size == len(data)
+
+
+@pytest.mark.parametrize("name", sorted(S.LOOSE))
+def test_loose_end(name):
+    kind, data, ext, size = S.LOOSE[name]
+    assert walk(kind, data + bytes(300)) == (size or len(data) + 300, ext, False)
+
+
+@pytest.mark.parametrize("name", sorted(S.REJECTED))
+def test_rejected_header(name):
+    kind, data = S.REJECTED[name]
+    assert not [c for c in scan(BytesSource(bytes(16) + data + bytes(300)), Options(types=(kind,))) if c.size]
+
+
+def test_directory_of_a_zip_that_runs_off_the_end():
+    short = S.zip_("word/document.xml")
+    body = len(b"stored, not packed") + 30 + len("word/document.xml")
+    assert walk("zip", short[: body + 46]) == (body, "docx", False)
+
+
+def test_rtf_strides_begin_anew_behind_raw_data():
+    stride = 1 << 16
+    escaped = b"{\\rtf1 " + b"a" * (stride - 8) + b"\\}" + b" tail}"
+    assert walk("rtf", escaped + b"x").size == len(escaped)
+    lost = SIGNATURES["rtf"].walk(View(BytesSource(escaped).pread, len(escaped), 0, len(escaped)), True)
+    assert lost.size == stride + 1  # the brace behind the cut escape closes the group
+    moved = b"{\\rtf1 \\bin3 abc" + b"a" * (stride - 16) + b"\\}" + b" tail}"
+    for parity in (False, True):  # the stride begins behind the raw data, so its end cuts nothing
+        assert SIGNATURES["rtf"].walk(View(BytesSource(moved).pread, len(moved), 0, len(moved)), parity).size == len(moved)
+
+
+def nested_heads(rng, size):
+    """Headers of sizes of their own, dropped anywhere into filler: carves overlap and nest at random."""
+    data = bytearray(rng.randrange(1, 40) for _ in range(size))
+    for _ in range(60):
+        at = rng.randrange(size - 100)
+        n = rng.choice([80, 300, 1500, 6000])
+        head = S.patched(S.bmp()[:54], 2, struct.pack("<I", n)) if rng.random() < 0.8 else S.riff()[:12].replace(S.riff()[4:8], struct.pack("<I", n - 8))
+        data[at : at + len(head)] = head
+    for _ in range(8):
+        at = rng.randrange(size - 200)
+        data[at : at + len(S.mp4())] = S.mp4()
+    return bytes(data[:size])
+
+
+def test_hidden_candidates_come_back_if_the_outer_carve_is_dropped(spark, tmp_path):
+    rng = random.Random(11)
+    woken = 0
+    for k in range(6):
+        data = nested_heads(rng, 30_000)
+        path = tmp_path / f"{k}.dd"
+        path.write_bytes(data)
+        want = [(c.type, c.offset, c.size) for c in fold(list(scan(BytesSource(data), Options(skip_carved=False, chunk_size=1024))), True)]
+        rows = sorted(carve(spark, str(path), chunk_size=1024, chunks_per_task=rng.choice([1, 2, 5])).collect(), key=lambda r: r.ord)
+        assert [(r.type, r.offset, r.size) for r in rows] == want
+        alone = [c for part in range(0, 30, 2) for c in scan(BytesSource(data), Options(chunk_size=1024), part, 2)]
+        woken += fold(alone, True) != fold(list(scan(BytesSource(data), Options(skip_carved=False, chunk_size=1024))), True)
+        assert [(c.type, c.offset, c.size) for c in sorted((c for c in scan(BytesSource(data), Options(chunk_size=1024)) if c.size), key=lambda c: c.ord)] == want
+    assert woken  # the rows that tasks find by themselves would not do
+
+
+def test_files_with_many_nested_headers_are_walked_once():
+    page = b"OggS\0\0" + bytes(8) + struct.pack("<III", 1, 0, 0) + bytes((1, 5)) + b"abcde"
+    ogg = page * 100_000
+    local = [b"PK\3\4" + struct.pack("<HHHHHIIIHH", 20, 0, 0, 0, 0, 0, 4, 4, 1, 0) + b"nbody" for _ in range(50_000)]
+    head = b"".join(local)
+    central = b"".join(b"PK\1\2" + struct.pack("<HHHHHHIIIHHHHHII", 20, 20, 0, 0, 0, 0, 0, 4, 4, 1, 0, 0, 0, 0, 0, 35 * k) + b"n" for k in range(len(local)))
+    zipped = head + central + b"PK\5\6" + struct.pack("<HHHHIIH", 0, 0, 0, 0, len(central), len(head), 0)
+    for kind, data in (("ogg", ogg), ("zip", zipped), ("gz", gzip.compress(b"x", mtime=0) * 20_000)):
+        began = time.time()
+        found = [c for c in scan(BytesSource(data), Options()) if c.size]
+        assert [(c.type, c.offset, c.size) for c in found] == [(kind, 0, len(data))] and time.time() - began < 20
+
+
+def test_noise_gives_nothing_sure():
+    data = random.Random(1234).randbytes(8 << 20)
+    assert not [c for c in scan(BytesSource(data), Options()) if c.validated]
+
+
+def test_counters_and_sources_in_one_folder(spark, tmp_path):
+    paths = []
+    for k in range(2):
+        data = bytes(3 * 4096) + S.png() + bytes(1000) + S.REJECTED["png"][1] + b"x" + bytes([k]) * 5000
+        paths.append(str(tmp_path / f"{k}" / "same.dd"))
+        (tmp_path / f"{k}").mkdir()
+        (tmp_path / f"{k}" / "same.dd").write_bytes(data)
+    records, counters = carve_counted(spark, paths, "png", out_dir=str(tmp_path / "out"), chunk_size=4096)
+    last = (3 * 4096 + len(S.png()) + 1000 + 20 + 1 + 5000) % 4096  # the first image ends in a part of a chunk of zeros
+    assert {(r.source_id, r.rejected, r.blank_bytes, r.corrupt_chunks) for r in counters.collect()} == {(paths[0], 1, 3 * 4096 + last, 0), (paths[1], 1, 3 * 4096, 0)}
+    assert write_files(records) == 2 and len(list((tmp_path / "out").rglob("*.png"))) == 2
+    uri = carve(spark, "file://" + paths[0], "png").collect()
+    assert [(r.offset, r.size) for r in uri] == [(3 * 4096, len(S.png()))]
+
+
+def test_ewf_segments_and_corrupt_chunks(spark, tmp_path):
+    raw = tmp_path / "a.dd"
+    data = bytes(1024) + S.png() + random.Random(2).randbytes(40_000) + S.jpg() + bytes(300)
+    raw.write_bytes(data)
+    first = S.ewf_set(str(raw), str(tmp_path / "a.E01"), per_chunk=2, segments=4)
+    source = open_source(first[0])
+    assert source.segments == 4 and source.pread(0, len(data)) == data and source.describe() == " (EWF, 4 segments)"
+    assert {(r.type, r.offset) for r in carve(spark, first[0], "png,jpg").collect() if r.validated} == {("png", 1024), ("jpg", 1024 + len(S.png()) + 40_000)}
+    with open(first[1], "r+b") as f:
+        f.seek(source.place[source.segment_of == 1][0] + 2)
+        f.write(b"\xff" * 20)
+    with pytest.raises(SourceError, match="is corrupt"):
+        open_source(first[0]).pread(0, len(data))
+    records, counters = carve_counted(spark, first[0], "png,jpg", on_corrupt="skip", chunk_size=1 << 16)
+    assert records.where("validated").count() == 2 and counters.first().corrupt_chunks == 1
+    (tmp_path / "a.E03").unlink()
+    with pytest.raises(SourceError, match="incomplete EWF set"):
+        open_source(first[0])
+
+
+def test_offset_filters_leave_tasks_out(spark, image):
+    path, data, truth = image
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        o = make_options(None, chunk_size=4096, skip_carved=False)
+        every = {(r.type, r.offset) for r in candidates(spark, path, o).where("type is not null and size > 0").collect()}
+        some = candidates(spark, path, o).where("offset >= 50000 and offset < 60000 and size > 0")
+        assert {(r.type, r.offset) for r in some.collect()} == {x for x in every if 50000 <= x[1] < 60000}
+        assert some.rdd.getNumPartitions() <= 5 < candidates(spark, path, o).rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_command_line(spark, image, tmp_path, capsys):
+    path, data, truth = image
+    assert main(["--list-types"]) == 0 and "office" in capsys.readouterr().out
+    assert main([]) == 2 and main([str(tmp_path / "none.dd")]) == 2
+    with pytest.raises(SystemExit):
+        main(["--nonsense", path])
+    assert main([path, "-o", str(tmp_path / "out"), "-j", "2", "--chunk", "64K"]) == 0
+    told = json.loads((tmp_path / "out" / "manifest.json").read_text())
+    assert [(f["type"], f["offset"], f["size"], f["sha256"]) for f in told["files"]] == truth
+    assert all(hashlib.sha256(open(f["path"], "rb").read()).hexdigest() == f["sha256"] for f in told["files"])
+    capsys.readouterr()
+    assert main([path, "-t", "mkv", "--length", "4K", "--dry-run", "-o", str(tmp_path / "dry")]) == 0
+    assert json.loads(capsys.readouterr().out)["files"] == [] and not (tmp_path / "dry").exists()
+
+
+def test_stream_of_files(spark, tmp_path):
+    twice = bytes(64) + S.png() + bytes(64)
+    spark.createDataFrame([(1, twice), (2, S.pdf())], "id long, data binary").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long, data binary").parquet(str(tmp_path / "in"))
+    got = []
+    carve_stream(stream, "id", "data", lambda records, epoch: got.extend(records.collect()), f"file://{tmp_path}/state", types="png,pdf").awaitTermination()
+    assert sorted((r.source_id, r.type, r.offset) for r in got) == [("1", "png", 64), ("2", "pdf", 0)]
+
+
+def test_table_function(spark, image):
+    path, data, truth = image
+    register(spark, carve(spark, path))
+    rows = spark.sql("SELECT r.size AS a, c.size AS b FROM carve_records r, LATERAL carve_at(r.source_id, r.type, r.offset, 0L) c").collect()
+    assert len(rows) == len(truth) and all(r.a == r.b for r in rows)
+    assert spark.sql("SELECT * FROM carve_signatures").count() == 23
+    assert spark.sql(f"SELECT * FROM carve_at('{path}', 'png', 1L, 0L)").count() == 0
