@@ -8,7 +8,8 @@ placeholder ``<|image|>``, and its reference and expanded token count are record
 control string, of this template or another, can occur inside a text, and unescaping restores it exactly.
 
 The loss mask is a run-length list over the whole output: for every turn the code points of its head, its body
-and its end mark, and whether the loss counts them; only bodies of assistant turns count.
+and its end mark, and whether the loss counts them; only bodies of assistant turns count. The loss text is cut out of
+the output by these runs. A conversation is one row, so it must fit a task's memory and 2 GB.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ TURN, END, OPEN, CLOSE = "<|turn|>", "<|end|>", "<s>", "</s>"
 EXPANDS = {"image": 256, "audio": 25, "document": 512}
 #: Turns whose texts are joined before conversations are put together, so a long one arrives in few rows.
 SEGMENT = 64
+#: Runs of the loss mask that are cut out of one slice of the output.
+RUNS = 192
 _ESCAPES = (("%", "%25"), ("<", "%3C"), ("[", "%5B"))
 
 
@@ -93,6 +96,35 @@ def format_turns(turns: DataFrame) -> DataFrame:
     ).withColumn("expanded_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda n, x: n + x["tokens"]))
 
 
+def _total(runs: Column) -> Column:
+    return F.aggregate(runs, F.lit(0).cast("long"), lambda n, r: n + r["chars"])
+
+
+def _begin(runs: Column, k: Column) -> Column:
+    """Code points of the first ``k`` runs."""
+    return _total(F.slice(runs, F.lit(1), k))
+
+
+def masked_text(formatted: DataFrame) -> DataFrame:
+    """Adds ``masked``: what the mask's counted runs cover, cut out of ``formatted`` by their places, as an array.
+
+    The places are the sums of the runs before. They are taken in two levels, slices of RUNS runs and runs in a slice, so
+    that a long conversation is not summed, or searched, from its start for every run.
+    """
+    n = F.ceil(F.size("mask") / RUNS).cast("int")
+    groups = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda k: F.slice("mask", k * RUNS + 1, F.lit(RUNS)))).otherwise(F.array().cast("array<array<struct<chars:int,loss:boolean>>>"))
+    rows = formatted.withColumn("__runs", groups)
+    rows = rows.withColumn("__chars", F.transform("__runs", _total))
+    before = F.transform("__chars", lambda c, k: F.aggregate(F.slice("__chars", F.lit(1), k), F.lit(0).cast("long"), lambda a, b: a + b))
+    rows = rows.withColumn("__parts", F.zip_with("__runs", F.arrays_zip(before.alias("at"), F.col("__chars").alias("n")), lambda r, p: F.struct(r.alias("runs"), F.substring(F.col("formatted"), (p["at"] + len(OPEN) + 1).cast("int"), p["n"].cast("int")).alias("text"))))
+
+    def cut(part: Column) -> Column:
+        pieces = F.transform(part["runs"], lambda r, i: F.when(r["loss"], F.substring(part["text"], (_begin(part["runs"], i) + 1).cast("int"), r["chars"])))
+        return F.filter(pieces, lambda x: x.isNotNull())
+
+    return rows.withColumn("masked", F.flatten(F.transform("__parts", cut))).drop("__runs", "__chars", "__parts")
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
     """Parse ``format_turns`` output: adds turns array<struct<role, text>> and loss_text (all text under the mask, unescaped)."""
     inner = F.substring("formatted", F.lit(len(OPEN) + 1), F.length("formatted") - len(OPEN) - len(CLOSE))
@@ -102,10 +134,9 @@ def read_back(formatted: DataFrame) -> DataFrame:
         cut = F.locate("\n", x)
         return F.struct(F.substring(x, F.lit(1), cut - 1).alias("role"), F.substring(x, cut + 1, F.length(x) - cut - len(END)).alias("body"))
 
-    rows = formatted.withColumn("raw", F.transform(pieces, parse))
-    masked = F.filter(F.transform("raw", lambda x, i: F.when(F.get(F.col("mask"), 3 * i + 1)["loss"], x["body"])), lambda x: x.isNotNull())
-    rows = rows.withColumn("loss_text", _unescape(F.array_join(masked, "")))
-    return rows.withColumn("turns", F.transform("raw", lambda x: F.struct(_unescape(x["role"], True).alias("role"), _unescape(x["body"]).alias("text")))).drop("raw")
+    rows = masked_text(formatted).withColumn("raw", F.transform(pieces, parse))
+    rows = rows.withColumn("loss_text", _unescape(F.array_join("masked", "")))
+    return rows.withColumn("turns", F.transform("raw", lambda x: F.struct(_unescape(x["role"], True).alias("role"), _unescape(x["body"]).alias("text")))).drop("raw", "masked")
 
 
 def digests(conversations: DataFrame) -> DataFrame:

@@ -181,8 +181,10 @@ def fit(x: np.ndarray, y: np.ndarray, signs: list[int], trees: int = TREES, dept
 def fit_labelled(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Trees | None:
     """Trees from the ``quality`` (1 good, 0 bad) of labelled documents; None if one of the classes is missing."""
     known = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    sample = known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    rows = stats.join(sample, "doc_id").orderBy("doc_id", *STATS).toPandas()
+    sample = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    # one row per label, whatever rows repeat a doc_id
+    least = stats.join(sample, "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(*STATS)).alias("s"))
+    rows = least.select("doc_id", "quality", "s.*").orderBy("doc_id").toPandas()
     if rows.quality.nunique() < 2:
         return None
     return fit(features(rows), rows.quality.to_numpy(float), list(FEATURES.values()))
@@ -193,7 +195,8 @@ def judge(documents: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT, fit
 
     A null or empty text has no words and fails the base rules. Repeated rows give repeated rows; a null doc_id
     stays null (such rows carry no label). Extra columns are ignored. Without labels of both classes the
-    base rules alone decide and quality is null. Of several labels of one document any one is used.
+    base rules alone decide and quality is null. Of several labels of one document the worst counts, of several rows
+    with one labelled doc_id the one with the least statistics.
     """
     spark = documents.sparkSession
     limit_arrow(spark)

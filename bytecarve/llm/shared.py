@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.work import work_dir
+
+__all__ = ["ARROW_BYTES", "ARROW_ROWS", "hot_keys", "limit_arrow", "materialise", "partitions_for", "remove", "salted_join", "table", "uniform", "work_dir"]
+
 #: Upper bounds of one Arrow batch handed to Python; texts may be very long, so bytes bind first.
 ARROW_ROWS = 4000
 ARROW_BYTES = 8 << 20
@@ -18,19 +20,6 @@ def limit_arrow(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder URI below the cluster's shared checkpoint folder (spark.checkpoint.dir).
-
-    Only a session without that setting (a local test) gets a folder of its own.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file:///tmp/bytecarve-checkpoints"
-    if "://" not in base and not base.startswith("file:"):
-        base = "file://" + base
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def materialise(df: DataFrame, path: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives executor loss."""
     df.write.mode("overwrite").parquet(path)
