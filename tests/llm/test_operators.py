@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -10,9 +11,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from bytecarve.llm import bagminhash, chat, components, huffman, langid, line_templates, mixing, packing, quality, textnp, tokens, topk, warc
 
+DATA = "/root/testdata"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = "word " * 4000
 #: (doc_id, text, lang, source): nulls, empty, blank, long, ties, repeated rows.
@@ -384,3 +387,74 @@ def test_salvage():
     assert len(got.records) == 3 and got.gaps[0][:2] == (len(plain), len(plain) + 20)
     wrong = plain.replace(b"page 0page", b"page Xpage", 1)
     assert not warc.salvage(wrong).records
+
+
+def test_language_prediction_depends_on_the_text_alone():
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcdé fgh\n", k=n)) for n in (1, 5, 63, 64, 65, 100, 700, 3000)]
+    net = langid.Network(3, 4)
+    buf, off, _ = textnp.utf8(pa.array(texts))
+    beside = langid.label(net, buf, off)
+    for k, t in enumerate(texts):
+        raw = np.frombuffer(t.encode(), np.uint8)
+        assert (langid.label(net, raw, np.array([0, len(raw)])) == beside[k]).all()
+        # by hand: one window after the other, with its context
+        total = np.zeros(3)
+        for s in range(0, len(raw), langid.WINDOW):
+            low, high = max(0, s - langid.CONTEXT), min(len(raw), s + langid.WINDOW + langid.CONTEXT)
+            a = net.logits(raw[low:high, None])[:, :, 0]
+            p = np.exp(a - a.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            total += p[s - low : s - low + min(langid.WINDOW, len(raw) - s)].sum(0)
+        assert np.allclose(total / len(raw), beside[k], atol=1e-5)
+
+
+def test_language_training_masks_what_is_outside_of_a_text():
+    net = langid.Network(3, 4)
+    net.p = {k: a.astype(float) for k, a in net.p.items()}
+    codes, lang, live = np.random.default_rng(0).integers(97, 122, (9, 5)), np.array([0, 1, 2, 0, 1]), np.ones((9, 5), bool)
+    live[:2, 1] = live[6:, 2] = live[:3, 3] = live[7:, 3] = False
+    _, g = net.step(codes, lang, live)
+    for k in ("xf", "uf", "ub", "vb", "c"):
+        i = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
+        net.p[k][i] += 1e-4
+        high = net.step(codes, lang, live)[0]
+        net.p[k][i] -= 2e-4
+        low = net.step(codes, lang, live)[0]
+        net.p[k][i] += 1e-4
+        assert abs((high - low) / 2e-4 - g[k][i]) < 1e-4
+
+
+@pytest.mark.skipif(not os.path.exists(f"{DATA}/sf0.1"), reason="needs the driver's tables")
+def test_language_accuracy_on_held_out_documents(spark):
+    docs = spark.read.parquet(f"{DATA}/sf0.1/documents.parquet")
+    rows = langid.predict(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'")
+    n, right = rows.selectExpr("count(*)", "count_if(lang = lang_pred)").first()
+    assert n > 1500 and right >= 0.99 * n
+
+
+def test_loss_text_is_cut_by_the_runs_of_the_mask(spark):
+    rows = [(1, k, "assistant" if k % 3 == 1 else "user", "é😀<%[x" * (k % 5)) for k in range(700)]
+    out = chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").select("conv_id", "turn", "role", chat.text_parts(F.col("text")).alias("parts")))
+    r = chat.read_back(out).first()
+    assert r.loss_text == "".join(t for _, _, role, t in rows if role == "assistant")
+    # a mask that counts one point more of a head and one less of its body moves the loss text by that point
+    moved = F.transform("mask", lambda m, i: F.struct((m["chars"] + F.when(i % 3 == 0, 1).when(i % 3 == 1, -1).otherwise(0)).alias("chars"), m["loss"].alias("loss")))
+    other = chat.masked_text(out.withColumn("mask", moved)).first()
+    at, want = len(chat.OPEN), []
+    for m in other["mask"]:
+        if m.loss:
+            want.append(other.formatted[at : at + m.chars])
+        at += m.chars
+    assert other.masked == want
+
+
+def test_labels_have_one_meaning(spark):
+    rng = random.Random(4)
+    docs = [(k, " ".join(rng.choices(["good", "plain", "word", "is", "the"] if k % 2 else ["X1", "zz!", "9"], k=80))) for k in range(400)]
+    docs += [(1, "the plain word")] * 50
+    labels = [(k, k % 2, 0) for k in range(400)] + [(k, 1, 0) for k in range(0, 400, 4)]
+    frame, told = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    one = sorted(quality.judge(frame, told).select("doc_id", "n_words", "kept", "quality").collect())
+    two = sorted(quality.judge(frame.orderBy(F.desc("doc_id")), told.orderBy(F.desc("doc_id"))).select("doc_id", "n_words", "kept", "quality").collect())
+    assert one == two and len(one) == 450
