@@ -18,12 +18,12 @@ def write_file(uri: str, data: bytes) -> None:
     system, path = _open(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)
     part = f"{path}.{uuid.uuid4().hex}.part"
-    with system.open_output_stream(part) as out:
+    with system.open_output_stream(part, compression=None) as out:
         out.write(data)
     system.move(part, path)
 
 
 def read_file(uri: str) -> bytes:
     system, path = _open(uri)
-    with system.open_input_stream(path) as stream:
+    with system.open_input_stream(path, compression=None) as stream:  # the bytes as they are, whatever the name says
         return stream.read()

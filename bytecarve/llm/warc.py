@@ -2,7 +2,9 @@ r"""WARC archives of pages, with revisit records, and a salvage reader.
 
 Records are gzip members of their own. The reader checks every member (gzip CRC, record length, payload
 digest); after a failed check it searches for the next valid member or ``WARC/1.`` version line, goes on
-from there, and logs the bytes between as a quarantined gap.
+from there, and logs the bytes between as a quarantined gap. The whole records of a damaged member of several are kept
+too. A record of type application/http has its digest over the HTTP body. Reading is linear in the archive:
+members are inflated piece by piece, up to MOST_BYTES, and no stretch is searched twice.
 """
 
 from __future__ import annotations
@@ -22,12 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .files import read_file, write_file
-from .shared import limit_arrow, materialise, work_dir
+from .shared import hot_keys, limit_arrow, materialise, salted_join, work_dir
 
 #: Payloads of fewer bytes are never revisits.
 MIN_REVISIT_BYTES = 0
 #: Compressed bytes at which an archive is closed.
 ARCHIVE_BYTES = 16 << 20
+#: Inflated bytes beyond which a member is quarantined.
+MOST_BYTES = 1 << 30
+_PIECE = 1 << 16
 _ID = "urn:bytecarve:page:"
 _MAGIC = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -62,6 +67,7 @@ class Record:
     headers: dict[str, str]
     payload: bytes
     offset: int
+    http: bytes = b""  # the HTTP head in front of the payload
 
 
 @dataclass
@@ -91,50 +97,91 @@ def _parse(data: bytes, at: int = 0) -> tuple[Record, int]:
     start, stop = end + 4, end + 4 + int(length)
     if data[stop : stop + 4] != b"\r\n\r\n":
         raise ValueError("the record does not end at its length")
-    payload = data[start:stop]
+    payload, http = data[start:stop], b""
+    if headers.get("content-type", "").lower().startswith("application/http") and headers.get("warc-type") == "response":
+        head, gap, payload = payload.partition(b"\r\n\r\n")
+        http = head + gap
     told = headers.get("warc-payload-digest", "")
     if headers.get("warc-type") == "response" and told.startswith("sha1:") and told[5:] != digest(payload):
         raise ValueError("payload digest differs")
-    return Record(headers, payload, at), stop + 4
-
-
-def _member(data: bytes, at: int) -> tuple[list[Record], int]:
-    """All records of the gzip member or the plain record at ``at``."""
-    if data.startswith(_MAGIC, at):
-        inflate = zlib.decompressobj(31)
-        view = memoryview(data)
+    return Record(headers, payload, at, http), stop + 4
+
+
+class Damaged(ValueError):
+    """A member that failed a check; ``found`` are the whole records in it."""
+
+    def __init__(self, reason: str, found: list[Record]) -> None:
+        super().__init__(reason)
+        self.found = found
+
+
+def _inflate(data: memoryview, at: int) -> tuple[bytes, int, str]:
+    """The inflated bytes of the gzip member at ``at``, the place after it, and what is wrong with it."""
+    inflate, parts, size, k = zlib.decompressobj(31), [], 0, at
+    try:
+        while not inflate.eof:
+            piece = inflate.unconsumed_tail or bytes(data[k : k + _PIECE])
+            if not piece:
+                return b"".join(parts), k, "gzip: the member is cut off"
+            if not inflate.unconsumed_tail:
+                k += len(piece)
+            parts.append(inflate.decompress(piece, 1 << 20))
+            size += len(parts[-1])
+            if size > MOST_BYTES:
+                return b"", k, f"gzip: the member inflates to over {MOST_BYTES} bytes"
+    except zlib.error as e:
+        return b"".join(parts), k, f"gzip: {e}"
+    return b"".join(parts), k - len(inflate.unused_data), ""
+
+
+def _member(data: bytes, view: memoryview, at: int) -> tuple[list[Record], int]:
+    """All records of the gzip member or the plain record at ``at``, and the place after it."""
+    if not data.startswith(_MAGIC, at):
+        one, after = _parse(data, at)
+        return [one], after
+    if len(data) > at + 3 and data[at + 3] & 0xE0:
+        raise Damaged("gzip: reserved flags", [])
+    plain, after, wrong = _inflate(view, at)
+    inner, found = 0, []
+    while inner < len(plain):
         try:
-            plain = inflate.decompress(view[at:])
-        except zlib.error as e:
-            raise ValueError(f"gzip: {e}") from None
-        if not inflate.eof:
-            raise ValueError("gzip: the member is cut off")
-        after, inner, found = len(data) - len(inflate.unused_data), 0, []
-        while inner < len(plain):
             one, inner = _parse(plain, inner)
-            one.offset = at
-            found.append(one)
-        return found, after
-    one, after = _parse(data, at)
-    return [one], after
+        except ValueError as e:
+            wrong = wrong or str(e)
+            following = _VERSION.search(plain, inner + 1)
+            inner = following.start() if following else len(plain)
+            continue
+        one.offset = at
+        found.append(one)
+    if wrong:
+        raise Damaged(wrong, found)
+    return found, after
 
 
 def salvage(data: bytes) -> Salvage:
     """Read what can be read of an archive, compressed by record or plain."""
-    out, at, bad, reason = Salvage(), 0, None, ""
+    out, at, bad, reason, version, view = Salvage(), 0, None, "", -1, memoryview(data)
+    again: list[Record] = []  # records of a damaged member, whose bytes a stored block shows once more
     while at < len(data):
         try:
-            found, after = _member(data, at)
+            found, after = _member(data, view, at)
         except ValueError as e:
             if bad is None:
                 bad, reason = at, str(e)
-            version = _VERSION.search(data, at + 1)
-            places = [p for p in (data.find(_MAGIC, at + 1), version.start() if version else -1) if p >= 0]
-            at = min(places, default=len(data))
+            again += getattr(e, "found", [])
+            out.records += getattr(e, "found", [])
+            if version <= at:
+                following = _VERSION.search(data, at + 1)
+                version = following.start() if following else len(data)
+            magic = data.find(_MAGIC, at + 1, version)
+            at = magic if magic >= 0 else version
+            continue
+        if bad is not None and len(found) == 1 and any(found[0].headers == r.headers and found[0].payload == r.payload for r in again):
+            at = after
             continue
         if bad is not None:
             out.gaps.append((bad, at, reason))
-            bad = None
+            bad, again = None, []
         out.records += found
         at = after
     if bad is not None:
@@ -147,21 +194,16 @@ def _number(headers: dict[str, str], name: str) -> int | None:
     return int(value[len(_ID) :]) if value.startswith(_ID) and value != _ID else None
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        raw = [(x or "").encode() for x in batch.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array([hashlib.sha1(x).digest() for x in raw], pa.binary()), pa.array([len(x) for x in raw], pa.int64())], ["page_id", "sha1", "n"])
-
-
 def _writer(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, serial, held, size = TaskContext.get().partitionId(), 0, [], 0
+        # a name for each attempt: the listing names the files of the one that counts
+        task, serial, held, size = f"{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}", 0, [], 0
         out = []
 
         def close() -> None:
             nonlocal serial, held, size
             if held:
-                path = f"{folder}/pages-{task:06d}-{serial:04d}.warc.gz"
+                path = f"{folder}/pages-{task}-{serial:04d}.warc.gz"
                 write_file(path, b"".join(held))
                 out.append((path, len(held)))
                 serial, held, size = serial + 1, [], 0
@@ -189,19 +231,27 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = MIN_R
     spark = pages.sparkSession
     limit_arrow(spark)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    seen = materialise(rows.select("page_id", "html").mapInArrow(_digests, "page_id long, sha1 binary, n long"), f"{folder}/digests")
-    groups = seen.where(F.col("n") >= min_revisit_bytes).groupBy("sha1").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and response is not null")
-    sha1 = F.unhex(F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
-    joined = rows.withColumn("sha1", sha1).join(groups, "sha1", "left")
+    raw = F.coalesce("html", F.lit("")).cast("binary")
+    rows = rows.withColumns({"sha1": F.sha1(raw), "n": F.octet_length(raw)})
+    groups = rows.where(F.col("n") >= min_revisit_bytes).groupBy("sha1").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and response is not null")
+    groups = materialise(groups, f"{folder}/groups")
+    # payloads that very many pages have are spread; by a shuffle at every size, since both sides grow
+    joined = salted_join(rows, groups, "sha1", hot_keys(groups, "sha1", "copies"), ["page_id", "url"], "left")
     revisit = F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
     joined = joined.select("page_id", "url", "html", revisit.alias("revisit"), F.when(revisit, F.col("response")).alias("refers_to"))
     return materialise(joined.mapInArrow(_writer(f"{folder}/archives"), "path string, n_records long"), f"{folder}/listing")
 
 
+_READ = "path string, offset long, gap_end long, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, reason string"
+
+
 def _reader(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        for path in frame.path:
+        for path, count in zip(frame.path, frame.n_records):
             got = salvage(read_file(path))
+            if count >= 0 and len(got.records) != count:
+                told = "; ".join(f"bytes {s} to {e}: {why}" for s, e, why in got.gaps[:20])
+                raise ValueError(f"{path}: {len(got.records)} of {int(count)} records, {len(got.gaps)} gaps: {told}")
             rows = []
             for r in got.records:
                 kind = r.headers.get("warc-type")
@@ -215,16 +265,23 @@ def _reader(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield out
 
 
-def read_archives(listing: DataFrame) -> DataFrame:
-    """All records of the files in ``listing`` (path), and a row with record_type ``gap`` for each quarantined byte range."""
+def read_archives(listing: DataFrame, whole: bool = False) -> DataFrame:
+    """All records of the files in ``listing`` (path), and a row with record_type ``gap`` for each quarantined byte range.
+
+    ``whole``: an archive with another number of records than its ``n_records`` is an error that tells the gaps.
+    """
     n = max(1, listing.count())
-    return listing.select("path").repartition(n).mapInPandas(_reader, "path string, offset long, gap_end long, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, reason string")
+    count = F.col("n_records") if whole else F.lit(-1)
+    return listing.select("path", count.cast("long").alias("n_records")).repartition(n).mapInPandas(_reader, _READ)
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:
-    """Write ``pages`` and read the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Write ``pages`` and read the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    Fails if an archive gives fewer records than were written to it.
+    """
     listing = write_archives(pages, work_dir(pages.sparkSession, "warc"), **options)
-    return read_archives(listing).where("record_type <> 'gap'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_archives(listing, whole=True).where("record_type <> 'gap'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 SQL = """

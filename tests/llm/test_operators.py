@@ -1,10 +1,12 @@
 """The training-data operators against brute force, exact round trips and held-out accuracy."""
 
 import collections
+import gzip
 import hashlib
 import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -458,3 +460,43 @@ def test_labels_have_one_meaning(spark):
     one = sorted(quality.judge(frame, told).select("doc_id", "n_words", "kept", "quality").collect())
     two = sorted(quality.judge(frame.orderBy(F.desc("doc_id")), told.orderBy(F.desc("doc_id"))).select("doc_id", "n_words", "kept", "quality").collect())
     assert one == two and len(one) == 450
+
+
+def test_salvage_inside_of_a_member():
+    plain = [zlib.decompress(warc.record(k, f"u{k}", f"page {k} ".encode() * 30), 31) for k in range(4)]
+    broken = plain[1].replace(b"page 1 page", b"page X page", 1)
+    together = gzip.compress(plain[0] + broken + plain[2], mtime=0)
+    data = together + warc.record(9, "u9", b"nine")
+    got = warc.salvage(data)
+    assert [r.headers["warc-target-uri"] for r in got.records] == ["u0", "u2", "u9"]
+    assert got.gaps == [(0, len(together), "payload digest differs")]
+    cut = gzip.compress(plain[0] + plain[1] + os.urandom(5000), 0, mtime=0)[:-3000]
+    got = warc.salvage(cut)
+    assert [r.headers["warc-target-uri"] for r in got.records] == ["u0", "u1"] and got.gaps[0][0] == 0
+    body = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n<p>"
+    http = f"WARC/1.0\r\nWARC-Type: response\r\nContent-Type: application/http; msgtype=response\r\nWARC-Payload-Digest: sha1:{warc.digest(b'<p>')}\r\nContent-Length: {len(body)}\r\n\r\n"
+    got = warc.salvage(http.encode() + body + b"\r\n\r\n")
+    assert [(r.payload, r.http[:8]) for r in got.records] == [(b"<p>", b"HTTP/1.1")] and not got.gaps
+
+
+def test_salvage_is_linear():
+    began = time.time()
+    assert len(warc.salvage(b"".join(warc.record(k, "u", b"x" * 20) for k in range(20_000))).records) == 20_000
+    good = b"".join(warc.record(k, "u", os.urandom(3000)) for k in range(2000))
+    got = warc.salvage(b"\x1f\x8b\x08zz" * 20_000 + good)
+    assert len(got.records) == 2000 and got.gaps[0][:2] == (0, 100_000)
+    bomb = gzip.compress(bytes(200 << 20), mtime=0)
+    assert time.time() - began < 60 and len(bomb) < 1 << 20
+
+
+def test_damaged_archive_is_an_error(spark, tmp_path):
+    pages = spark.createDataFrame([(k, "u", f"<p>{k}") for k in range(50)], "page_id long, url string, html string")
+    listing = warc.write_archives(pages.coalesce(1), f"file://{tmp_path}/a")
+    path = listing.first().path.removeprefix("file:").replace("//", "/")
+    data = bytearray(open(path, "rb").read())
+    data[len(data) // 2 : len(data) // 2 + 20] = b"\xff" * 20
+    open(path, "wb").write(bytes(data))
+    rows = warc.read_archives(listing).groupBy("record_type").count().collect()
+    assert {r.record_type: r["count"] for r in rows}["gap"] >= 1
+    with pytest.raises(Exception, match="of 50 records"):
+        warc.read_archives(listing, whole=True).count()
