@@ -27,3 +27,9 @@ def read_file(uri: str) -> bytes:
     system, path = _open(uri)
     with system.open_input_stream(path, compression=None) as stream:  # the bytes as they are, whatever the name says
         return stream.read()
+
+
+def open_file(uri: str):
+    """A file for random access, to be closed by its user."""
+    system, path = _open(uri)
+    return system.open_input_file(path)

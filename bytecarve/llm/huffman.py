@@ -1,6 +1,7 @@
 """Token ids in a binary format: canonical length-limited Huffman codes from global counts.
 
-One file per range of doc_id, documents in ascending order. Layout of a file:
+Files follow each other in ascending doc_id order: each partition of a range of doc_id is a sorted stream, and a
+file is closed when its ids reach FILE_BYTES, so no id, null included, has to fit one file. Layout of a file:
 
     magic "TOKHUF01", u32 length of the zlib-compressed header, header (JSON: n_docs, n_ids, block,
     words, max_bits, width), u32 length and zlib bytes of the code lengths (one byte per id),
@@ -21,21 +22,22 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textnp as T
 from . import tokens as K
 from .files import read_file, write_file
-from .shared import limit_arrow, work_dir
+from .shared import limit_arrow, materialise, work_dir
 
 MAGIC = b"TOKHUF01"
 MAX_BITS = 18
 BLOCK = 512
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
-#: Text bytes that a file is meant for.
-FILE_BYTES = 16 << 20
+#: Bytes of ids, two each, at which a file is closed, and files that a partition is meant for.
+FILE_BYTES, PART_FILES = 8 << 20, 2
 _CHUNK = 1 << 20
 U64 = np.uint64
 
@@ -174,17 +176,15 @@ def unpack_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if z else int(d) for d, z in zip(doc_ids, nulls)], counts, ids
 
 
-def _tokenise(path: Callable[[], str], bounds: np.ndarray, end_id: int):
+def _tokenise(path: Callable[[], str], end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = K.encoder(path(), True)
         for batch in batches:
-            column = batch.column("doc_id").cast(pa.int64())
-            file = np.searchsorted(bounds, np.asarray(column.fill_null(np.iinfo(np.int64).min)), side="right")
             buf, off, _ = T.utf8(batch.column("text"))
             for i, j in T.slices(off, 4 << 20):
                 ids, at = encoder.encode(buf[off[i] : off[j]], off[i : j + 1] - off[i])
                 raw = [np.append(ids[at[k] : at[k + 1]], end_id).astype("<u4").tobytes() for k in range(j - i)]
-                yield pa.RecordBatch.from_arrays([pa.array(file[i:j], pa.int32()), column.slice(i, j - i), pa.array([shrink(r) for r in raw], pa.binary())], ["file", "doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array([shrink(r) for r in raw], pa.binary())], ["doc_id", "ids"])
 
     return run
 
@@ -199,51 +199,65 @@ def widen(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<u2" if data[:1] == b"\x02" else "<u4", offset=1)
 
 
-def _count(rows: Iterator) -> Iterator:
-    total = np.zeros(1 << 16, np.int64)
-    for row in rows:
-        got = np.bincount(widen(row.ids))
-        if len(got) > len(total):
-            total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
-        total[: len(got)] += got
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(0, np.int64)
+    for batch in batches:
+        got = np.bincount(np.concatenate([widen(x) for x in batch.column("ids").to_pylist()] or [np.zeros(0, np.uint16)]), minlength=len(total))
+        got[: len(total)] += total
+        total = got
     used = np.flatnonzero(total)
-    return iter(zip(used.tolist(), total[used].tolist()))
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
 
 
-def write_ids(documents: DataFrame, folder: str, end_id: int = END_ID, tokenizer_path: str | None = None, file_bytes: int = FILE_BYTES) -> list[tuple[int, str, int, int]]:
-    """Write the token files; returns (file number, path, documents, ids) of each in ascending doc_id order.
+_LISTING = "part long, serial long, path string, n_docs long, n_ids long"
 
-    The counts of ids (at most one per vocabulary entry) and the list of files are all that the driver gets.
+
+def _write(folder: str, lengths: np.ndarray, file_bytes: int):
+    codes = canonical(lengths)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
+        held: list[tuple[int | None, np.ndarray]] = []
+        serial = size = 0
+
+        def close() -> pa.RecordBatch:
+            target = f"{folder}/ids-{part:06d}-{serial:05d}-{attempt}.huf"  # the listing names the files of the attempt that counts
+            write_file(target, pack_file(held, lengths, codes))
+            row = (part, serial, target, len(held), sum(len(d[1]) for d in held))
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["part", "serial", "path", "n_docs", "n_ids"])
+
+        for batch in batches:
+            for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
+                held.append((doc, widen(raw)))
+                size += held[-1][1].nbytes
+                if size >= file_bytes:
+                    yield close()
+                    held, size, serial = [], 0, serial + 1
+        if held:
+            yield close()
+
+    return run
+
+
+def write_ids(documents: DataFrame, folder: str, end_id: int = END_ID, tokenizer_path: str | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Write the token files; their listing (part, serial, path, n_docs, n_ids), whose order by part and serial is that of doc_id.
+
+    The counts of ids (one per vocabulary entry) are all that the driver gets.
     """
     spark = documents.sparkSession
     limit_arrow(spark)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // file_bytes))
-    bounds = np.unique(np.array(texts.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.1 / n), dtype=np.float64).astype(np.int64)) if n > 1 else np.zeros(0, np.int64)
     path = (lambda: tokenizer_path) if tokenizer_path else (lambda: K.public_path(TOKENIZER))
-    rows = texts.mapInArrow(_tokenise(path, bounds, end_id), "file int, doc_id long, ids binary")
-    rows = rows.repartitionById(len(bounds) + 1, "file").sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), F.xxhash64("ids"))
-    shuffled = rows.rdd  # one shuffle serves both passes below
-    counts = dict(shuffled.mapPartitions(_count).reduceByKey(lambda a, b: a + b, min(64, len(bounds) + 1)).collect())
-    total = np.zeros(max(counts, default=0) + 1, np.int64)
-    for k, v in counts.items():
-        total[k] = v
-    lengths = code_lengths(total)
-    book = spark.sparkContext.broadcast((lengths, canonical(lengths)))
-
-    def write(part: Iterator) -> Iterator:
-        docs: list[tuple[int | None, np.ndarray]] = []
-        number = None
-        for row in part:
-            number = row.file
-            docs.append((row.doc_id, widen(row.ids)))
-        if number is not None:
-            target = f"{folder}/ids-{number:06d}.huf"
-            write_file(target, pack_file(docs, *book.value))
-            yield number, target, len(docs), sum(len(d[1]) for d in docs)
-
-    return sorted(shuffled.mapPartitions(write).collect())
+    # tokenised once: the table serves the count and the writing
+    ids = materialise(texts.mapInArrow(_tokenise(path, end_id), "doc_id long, ids binary"), f"{folder}/ids")
+    counts = ids.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    total = np.zeros(max((r.id for r in counts), default=0) + 1, np.int64)
+    for r in counts:
+        total[r.id] = r.n
+    size = ids.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+    order = F.col("doc_id").asc_nulls_first()
+    ranged = ids.repartitionByRange(max(1, -(-size // (PART_FILES * file_bytes))), order).sortWithinPartitions(order, F.xxhash64("ids"))
+    return materialise(ranged.mapInArrow(_write(f"{folder}/files", code_lengths(total), file_bytes), _LISTING), f"{folder}/listing")
 
 
 def _read(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -255,14 +269,13 @@ def _read(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"doc_id": pd.array(doc_ids, "Int64"), "start": start + end - counts, "n_tokens": counts, "ids_crc32": np.array(crc, np.int64)})
 
 
-def read_ids(spark, files: list[tuple[int, str, int, int]]) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of every document in the files."""
-    start, rows = 0, []
-    for _, path, _, n in files:
-        rows.append((path, start))
-        start += n
-    listing = spark.createDataFrame(rows, "path string, start long")
-    return listing.repartition(max(1, len(rows))).mapInPandas(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+def read_ids(listing: DataFrame) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of every document in the files of ``listing``."""
+    parts = listing.groupBy("part").agg(F.sum("n_ids").alias("n"), F.count(F.lit(1)).alias("files"))
+    parts = parts.withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n"))  # one row for each partition
+    inside = F.sum("n_ids").over(Window.partitionBy("part").orderBy("serial")) - F.col("n_ids")
+    starts = listing.join(parts.select("part", "before").hint("merge"), "part").select("path", (F.col("before") + inside).alias("start"))
+    return starts.repartition(max(1, listing.count())).mapInPandas(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(documents: DataFrame, **options) -> DataFrame:
@@ -271,4 +284,4 @@ def round_trip(documents: DataFrame, **options) -> DataFrame:
     A null or empty text is the end id alone; a null doc_id sorts first; rows with one doc_id all count,
     in order of a hash of their ids. Other columns are ignored; an empty table gives no rows.
     """
-    return read_ids(documents.sparkSession, write_ids(documents, work_dir(documents.sparkSession, "token-ids"), **options))
+    return read_ids(write_ids(documents, work_dir(documents.sparkSession, "token-ids"), **options))

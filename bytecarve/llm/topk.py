@@ -3,7 +3,8 @@
 Vectors are quantised to integers. Rows are dealt into blocks; each block keeps a posting list per
 component (row numbers and weights, zeros left out). A query's non-zero components scatter weighted
 postings into a dense score array over the block, the block's best are cut out by partition selection,
-and the blocks' lists are merged. Queries come in blocks as well: a unit of work is one pair of blocks.
+and the blocks' lists are merged. Row blocks stay where they are: a task holds some of them (HOLD_BYTES) and
+streams the query blocks past them from the shared folder, so the matrix is dealt once, whatever the number of queries.
 """
 
 from __future__ import annotations
@@ -13,13 +14,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .files import open_file
 from .shared import limit_arrow, materialise, work_dir
 
 K, SCALE, QUERY_EVERY = 10, 1024, 100
-ROW_BLOCK, QUERY_BLOCK = 16_384, 1024
+#: Bytes of a block of rows or queries (eight a component), and of the row blocks that a task holds at once.
+BLOCK_BYTES, HOLD_BYTES = 4 << 20, 64 << 20
 #: Queries whose score arrays are filled together.
 TOGETHER = 8
 
@@ -33,9 +37,8 @@ def postings(rows: np.ndarray) -> list[tuple[np.ndarray | slice, np.ndarray]]:
     return out
 
 
-def best(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, row id, score) of each query's ``k`` best rows of a block, ties to the smaller id."""
-    lists = postings(rows)
+def best(ids: np.ndarray, lists: list, query_ids: np.ndarray, queries: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, row id, score) of each query's ``k`` best rows of a block, by its posting ``lists``, ties to the smaller id."""
     got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for s in range(0, len(queries), TOGETHER):
         part, names = queries[s : s + TOGETHER], query_ids[s : s + TOGETHER]
@@ -64,16 +67,37 @@ def _blocks(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": [rows.block.iloc[0]], "ids": [rows.vec_id.to_numpy("<i8").tobytes()], "matrix": [m.tobytes()]})
 
 
-def _work(k: int):
+def _past(held: list[tuple[int, np.ndarray, list]], files: list[str], k: int) -> Iterator[pa.RecordBatch]:
+    """All query blocks past the held row blocks (width, ids, postings): each query's ``k`` best of all of them."""
+    for uri in files if held else []:
+        with open_file(uri) as stream:
+            for batch in pq.ParquetFile(stream).iter_batches(1, columns=["ids", "matrix"]):
+                for row in batch.to_pylist():
+                    query_ids = np.frombuffer(row["ids"], "<i8")
+                    queries = np.frombuffer(row["matrix"], "<i8").reshape(len(query_ids), -1)
+                    got = [best(ids, lists, query_ids, queries, k) for width, ids, lists in held if width == queries.shape[1]]
+                    if not got:
+                        continue
+                    q, v, s = (np.concatenate(c) for c in zip(*got))
+                    order = np.lexsort((v, -s, q))
+                    q, v, s = q[order], v[order], s[order]
+                    near = np.arange(len(q)) - np.searchsorted(q, q) < k
+                    yield pa.RecordBatch.from_arrays([pa.array(q[near]), pa.array(v[near]), pa.array(s[near])], ["query_id", "vec_id", "score"])
+
+
+def _work(files: list[str], k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for row in batch.to_pylist():
-                ids, query_ids = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["query_ids"], "<i8")
+                ids = np.frombuffer(row["ids"], "<i8")
                 rows = np.frombuffer(row["matrix"], "<i8").reshape(len(ids), -1)
-                queries = np.frombuffer(row["queries"], "<i8").reshape(len(query_ids), -1)
-                if rows.shape[1] == queries.shape[1]:
-                    q, v, s = best(ids, rows, query_ids, queries, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s)], ["query_id", "vec_id", "score"])
+                held.append((rows.shape[1], ids, postings(rows)))
+                size += rows.nbytes
+                if size >= HOLD_BYTES:
+                    yield from _past(held, files, k)
+                    held, size = [], 0
+        yield from _past(held, files, k)
 
     return run
 
@@ -92,23 +116,19 @@ def top_k(vectors: DataFrame, k: int = K, scale: int = SCALE, query_every: int =
     base = work_dir(spark, "topk")
     ok = vectors.where("vec_id is not null and size(embedding) > 0").where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))))
     rows = ok.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("vector"))
-    n, n_queries = rows.select(F.count(F.lit(1)), F.count_if(F.col("vec_id") % query_every == 0)).first()
-    n_blocks, n_query_blocks = max(1, -(-n // ROW_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
     width = F.size("vector")
+    asked = F.col("vec_id") % query_every == 0
+    n, n_queries = (x or 0 for x in rows.select(F.sum(width), F.sum(F.when(asked, width))).first())
     ddl = "block long, ids binary, matrix binary"
 
-    def deal(frame: DataFrame, blocks: int) -> DataFrame:
-        keyed = frame.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) + width.cast("long") * (1 << 32))
+    def deal(frame: DataFrame, components: int) -> DataFrame:
+        # by a hash of the whole row, so that rows of one id spread
+        keyed = frame.withColumn("block", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(max(1, -(-8 * components // BLOCK_BYTES)))) + width.cast("long") * (1 << 32))
         return keyed.groupBy("block").applyInPandas(_blocks, ddl)
 
-    row_blocks = materialise(deal(rows, n_blocks), f"{base}/rows")
-    queries = rows.where(F.col("vec_id") % query_every == 0).distinct()
-    query_blocks = materialise(deal(queries, n_query_blocks), f"{base}/queries")
-    # pairs of blocks by an equi-join: each side names the block of the other that it is to meet
-    left = row_blocks.select(F.floor(F.col("block") / (1 << 32)).alias("width"), "block", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))).alias("q"), "ids", "matrix")
-    right = query_blocks.select(F.floor(F.col("block") / (1 << 32)).alias("width"), (F.col("block") % (1 << 32)).cast("int").alias("q"), F.col("ids").alias("query_ids"), F.col("matrix").alias("queries"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("r"))
-    left = left.withColumn("r", (F.col("block") % (1 << 32)).cast("int")).drop("block")
-    found = left.join(right, ["width", "q", "r"]).select("ids", "matrix", "query_ids", "queries").mapInArrow(_work(k), "query_id long, vec_id long, score long")
+    queries = materialise(deal(rows.where(asked).distinct(), n_queries), f"{base}/queries")
+    row_blocks = materialise(deal(rows, n), f"{base}/rows")
+    found = row_blocks.select("ids", "matrix").mapInArrow(_work(queries.inputFiles(), k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
