@@ -230,7 +230,11 @@ def drop_recurring_lines(documents: DataFrame, **options) -> DataFrame:
     drops = drops.select(F.col("doc_id").alias("__doc"), "__drop")
     # by a shuffle at every size, since the drops grow with the corpus
     kept = documents.join(drops.hint("merge"), F.col("doc_id") == F.col("__doc"), "left")
-    rest = F.array_join(F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.when(~F.array_contains("__drop", i), x)), lambda x: x.isNotNull()), "\n")
+    # linear in a text's lines: the numbers to keep are found by a hash, the lines looked up by number (two uses of
+    # __lines keep the optimizer from splitting the text again for each of them)
+    kept = kept.withColumn("__lines", F.when(F.col("__drop").isNotNull(), F.split("text", "\n", -1)))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__drop")
+    rest = F.array_join(F.transform(stay, lambda i: F.get("__lines", i)), "\n")
     count = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1)
     kept = kept.withColumns({"n_lines": count.cast("long"), "n_dropped": F.coalesce(F.size("__drop"), F.lit(0)).cast("long"), "text": F.when(F.col("__drop").isNull(), F.col("text")).otherwise(rest)})
-    return kept.withColumn("n_dropped", F.greatest("n_dropped", F.lit(0)).cast("long")).drop("__doc", "__drop")
+    return kept.withColumn("n_dropped", F.greatest("n_dropped", F.lit(0)).cast("long")).drop("__doc", "__drop", "__lines")

@@ -24,6 +24,8 @@ MOST_COPIES = 3.0
 SEED = 20_240
 #: Rows of a slice of the ranking, on average.
 SLICE_ROWS = 1000
+#: Slices whose sums are taken together.
+PAGE = 1000
 #: Plan rows (sources times length classes) up to which the plan is broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 50_000
 
@@ -53,8 +55,8 @@ def plan(groups: pd.DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     size = np.bincount(key, weights=groups.words, minlength=len(names))
     target = fill(float(size.sum()), np.array([weights[k % len(weights)] for k in range(len(names))]), most * size)
     copies = np.zeros(len(groups))
-    for k in range(len(names)):
-        at = np.flatnonzero(key == k)
+    by_source = np.argsort(key, kind="stable")
+    for k, at in enumerate(np.split(by_source, np.cumsum(np.bincount(key, minlength=len(names)))[:-1]) if len(names) else ()):
         words = groups.words.to_numpy(float)[at]
         affinity = 1 + groups.length_class.to_numpy(float)[at] / 32
         got = fill(float(target[k]), affinity * words, most * words) if words.sum() else words
@@ -120,9 +122,15 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     docs = docs.withColumn("slice", F.when(drawn, F.least(F.floor(place * F.col("slices")), F.col("slices") - 1).cast("long")))
     docs = materialise(docs, f"{base}/ranked")
 
-    slices = docs.where("slice is not null").groupBy("source", "slice", "rest").agg(F.sum("size").alias("words"))
-    upto = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0)))
+    # prefix sums in two levels, so that not even the slices of a hot source meet in one task
+    slices = docs.where("slice is not null").groupBy("source", "slice", "rest").agg(F.sum("size").alias("words")).withColumn("page", F.floor(F.col("slice") / PAGE))
+    slices = materialise(slices, f"{base}/words")
+    earlier = (Window.unboundedPreceding, -1)
+    pages = slices.groupBy("source", "page").agg(F.sum("words").alias("w"))
+    pages = pages.select(F.col("source").alias("g_source"), F.col("page").alias("g_page"), F.coalesce(F.sum("w").over(Window.partitionBy("source").orderBy("page").rowsBetween(*earlier)), F.lit(0)).alias("g_before"))
+    inside = F.coalesce(F.sum("words").over(Window.partitionBy("source", "page").orderBy("slice").rowsBetween(*earlier)), F.lit(0))
+    slices = slices.withColumn("inside", inside).join(pages.hint("merge"), F.col("source").eqNullSafe(F.col("g_source")) & (F.col("page") == F.col("g_page")))
+    slices = slices.withColumn("before", F.col("g_before") + F.col("inside"))
     state = slices.select(F.col("source").alias("s_source"), F.col("slice").alias("s_slice"), (F.col("rest") - F.col("before")).alias("left"), (F.col("before") + F.col("words") <= F.col("rest")).alias("all"))
     state = materialise(state, f"{base}/slices")
     edge = state.where(~F.col("all") & (F.col("left") > 0))

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from bytecarve.llm import bagminhash, chat, components, huffman, langid, line_templates, mixing, packing, quality, textnp, tokens, topk, warc
+from bytecarve.llm import bagminhash, chat, components, huffman, langid, line_templates, mixing, packing, quality, shared, textnp, tokens, topk, warc
 
 DATA = "/root/testdata"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -500,3 +500,57 @@ def test_damaged_archive_is_an_error(spark, tmp_path):
     assert {r.record_type: r["count"] for r in rows}["gap"] >= 1
     with pytest.raises(Exception, match="of 50 records"):
         warc.read_archives(listing, whole=True).count()
+
+
+def test_mixing_slices_in_pages(spark, monkeypatch):
+    rng = random.Random(5)
+    docs = [(k, "w " * rng.randint(1, 30), "hot" if k % 3 else "b") for k in range(4000)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    plain = sorted(mixing.mix(frame).select("doc_id", "taken").collect())
+    monkeypatch.setattr(mixing, "PAGE", 1)
+    assert sorted(mixing.mix(frame).select("doc_id", "taken").collect()) == plain
+
+
+def test_mixing_draws_in_rank_order(spark):
+    rng = random.Random(9)
+    docs = [(k, "w " * rng.randint(1, 60), rng.choice("abc")) for k in range(2500)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    rows = mixing.mix(frame).toPandas()
+    u = {r.doc_id: r.u for r in frame.select("doc_id", shared.uniform(F.col("doc_id"), mixing.SEED).alias("u")).collect()}
+    groups = collections.defaultdict(lambda: [0, 0])
+    for _, t, s in docs:
+        n = len(t.split())
+        groups[s, int(np.floor(np.log2(n)))][0] += 1
+        groups[s, int(np.floor(np.log2(n)))][1] += n
+    made = mixing.plan(pd.DataFrame([(s, c, n, w) for (s, c), (n, w) in sorted(groups.items())], columns=["source", "length_class", "n", "words"]))
+    steps = {(r.source, r.length_class): r for r in made.itertuples()}
+    want = {}
+    for s in "abc":
+        ranked, left = [], None
+        for d, t, source in docs:
+            if source == s:
+                n = len(t.split())
+                step = steps[s, int(np.floor(np.log2(n)))]
+                want[d], left = step.whole, step.rest if left is None else left
+                if step.p > 0:
+                    odds = np.log(u[d] / (1 - u[d])) - np.log(step.p / (1 - step.p))
+                    ranked.append((odds, d, n))
+        skipped = []
+        for _, d, n in sorted(ranked):
+            if n <= left and len(skipped) < 1:
+                want[d], left = want[d] + 1, left - n
+            else:
+                skipped.append((n, d))
+    # up to the slice in which the words run out the draw is the ranking itself
+    got = rows.set_index("doc_id").copies.to_dict()
+    assert sum(got[d] != want[d] for d in want) <= 0.02 * len(docs)
+
+
+def test_dropping_lines_is_linear_in_a_text(spark):
+    lines = [f"line of {chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)} here" for k in range(12_000)]
+    text = "\n".join(lines)
+    docs = spark.createDataFrame([(1, text, "x"), (2, text, "x"), (3, "only this one stays\n" + text, "x")], "doc_id long, text string, n_lines string")
+    began = time.time()
+    rows = {r.doc_id: r for r in line_templates.drop_recurring_lines(docs).collect()}
+    assert rows[1].text == text and rows[2].n_dropped == 12_000 and rows[3].text == "only this one stays" and time.time() - began < 120
+    assert rows[3].n_lines == 12_001 and set(rows[1].asDict()) == {"doc_id", "text", "n_lines", "n_dropped"}
