@@ -17,6 +17,12 @@ Signatures are banded (20 bands of 4: a pair at similarity 0.8 meets with probab
 a bucket whose signatures agree on CUT components or more (a pair at 0.8 does but for one case in
 ten million) are linked into groups of candidates; inside a group the exact multiset overlaps are accumulated
 over posting lists of the shingles, and links at the threshold are united.
+
+A group of over BLOCK members is first compared with one of its members, the pivot, as a star: each member's exact
+similarity to it, in as many tasks as the group has blocks. Those at the threshold form one class. Only what is
+left is compared with the rest, and with those of the class alone that the triangle inequality leaves open (one minus
+the weighted Jaccard similarity is a metric): a member at similarity s to the pivot cannot be linked to one at over
+s + 1 - threshold. So a group around one text costs as much as it has members.
 """
 
 from __future__ import annotations
@@ -31,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import textnp as T
 from .components import components
-from .shared import limit_arrow, materialise, partitions_for, work_dir
+from .shared import hot_keys, limit_arrow, materialise, partitions_for, salted_join, work_dir
 
 U64 = np.uint64
 SHINGLE = 5
@@ -39,9 +45,10 @@ THRESHOLD = 0.8
 BANDS, ROWS = 20, 4
 #: Equal signature bytes, of BANDS * ROWS, from which two members of a bucket are candidates.
 CUT = 45
-#: Members up to which a bucket's signatures are compared; a larger bucket is one group as it stands.
+#: Members up to which a bucket's signatures are compared in one task; of a larger one all are candidates of each other.
+#: Candidates are never links: both are verified exactly.
 BUCKET = 2048
-#: Members of a group that are verified together; a larger group is verified by all pairs of such blocks.
+#: Members of a group that are verified together.
 BLOCK = 1024
 _STREAM = U64(0xD1B54A32D192ED03)
 _STEP = U64(0x9E3779B97F4A7C15)
@@ -264,7 +271,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys = ["band", "key"]
     for table in _runs(batches, keys):
         first = _firsts(table, keys)
-        rep = np.asarray(table.column("rep"))
+        rep = np.asarray(table.column("uid"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(rep), -1)
         size = np.diff(first)
         head = np.repeat(first[:-1], size)
@@ -299,30 +306,79 @@ def _linked(threshold: float):
         keys = ["root", "i", "j"]
         for table in _runs(batches, keys):
             first = _firsts(table, keys)
-            rep = np.asarray(table.column("rep"))
+            uid = np.asarray(table.column("uid"))
             a, b = [], []
             for s, e in zip(first[:-1], first[1:]):
                 for x, y in links(_bags(table.column("text").slice(s, e - s)), threshold):
-                    a.append(rep[s + x])
-                    b.append(rep[s + y])
+                    a.append(uid[s + x])
+                    b.append(uid[s + y])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
+def _star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(root, uid, similarity to the pivot) over a stream sorted by (root, block, member): the pivot comes first in each block."""
+    key, bag = None, None
+    for batch in batches:
+        out = []
+        bags = _bags(batch.column("text"))
+        for k, (root, block, member, uid) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("root", "block", "member", "uid")))):
+            if not member:
+                key, bag = (root, block), bags[k]
+                continue
+            if key != (root, block):
+                raise RuntimeError(f"no pivot in block {block} of group {root}")
+            out.append((root, uid, similarity(bag, bags[k])))
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else ((), (), ()), (pa.int64(), pa.int64(), pa.float64()))], ["root", "uid", "s"])
+
+
+def _verified(member: DataFrame, texts: DataFrame, threshold: float, n: int, base: str) -> DataFrame:
+    """Links (a, b) that connect what is linked at ``threshold`` in each group: ``member`` (uid, root, size), ``texts`` (uid, text)."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    big = member.where(F.col("size") > BLOCK).withColumn("block", F.pmod(F.xxhash64("uid"), blocks).cast("int")).withColumn("blocks", blocks)
+    rows = big.join(texts.hint("merge"), "uid").select("root", "block", F.lit(1).alias("member"), "uid", "text")
+    pivots = big.where("uid = root").join(texts.hint("merge"), "uid").select("root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("member"), "uid", "text")
+    dealt = rows.unionByName(pivots).repartition(n, "root", "block").sortWithinPartitions("root", "block", "member", "uid")
+    star = materialise(dealt.mapInArrow(_star, "root long, uid long, s double"), f"{base}/star")
+    far = star.where(F.col("s") < threshold).groupBy("root").agg(F.count(F.lit(1)).alias("far"), F.max("s").alias("top"))
+    far = materialise(far, f"{base}/far")
+    # left: the far ones, and those near the pivot that a far one could still be linked to
+    open_ = (F.col("s") < threshold) | (F.col("s") <= F.col("top") + (1 - threshold) + 1e-9)
+    left = star.join(far.hint("merge"), "root").where(open_).withColumn("is_far", F.col("s") < threshold)
+    near = left.where("not is_far").groupBy("root").agg(F.count(F.lit(1)).alias("near"))
+    left = left.join(near.hint("merge"), "root", "left").na.fill(0, ["near"])
+    n_far, n_near = F.ceil(F.col("far") / BLOCK).cast("int"), F.ceil(F.col("near") / BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("uid"), F.when(F.col("is_far"), n_far).otherwise(n_near)).cast("int")
+    left = left.select("root", "uid", "is_far", block.alias("block"), n_far.alias("n_far"), n_near.alias("n_near"))
+    every = F.sequence(F.lit(0), F.col("n_far") - 1)
+    # blocks of far ones meet each other, and each block of near ones (numbered behind them) meets each of them
+    mine = F.when(F.col("is_far"), F.col("block")).otherwise(F.col("n_far") + F.col("block"))
+    others = F.when(F.col("is_far"), F.sequence(F.lit(0), F.col("n_far") + F.col("n_near") - 1)).otherwise(every)
+    alone = (F.col("n_far") == 1) & (F.col("n_near") == 0)
+    others = F.when(alone, every).otherwise(F.filter(others, lambda x: x != mine))
+    unit = left.select("root", "uid", mine.alias("mine"), F.explode(others).alias("other"))
+    unit = unit.select("root", "uid", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    small = member.where(F.col("size") <= BLOCK).select("root", "uid", F.lit(0).alias("i"), F.lit(0).alias("j"))
+    units = unit.unionByName(small).join(texts.hint("merge"), "uid").select("root", "i", "j", "uid", "text")
+    units = units.repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j", "uid")
+    found = units.mapInArrow(_linked(threshold), "a long, b long")
+    return materialise(found.unionByName(star.where(F.col("s") >= threshold).select(F.col("root").alias("a"), F.col("uid").alias("b"))), f"{base}/edges")
+
+
 def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``documents`` (doc_id long, text string, more columns ignored):
-    (doc_id, class_id long, class_size long).
+    (doc_id, class_id long, class_size long, text_key binary, class_key long).
 
     A class holds documents with equal texts and, transitively, those whose shingle multisets have
-    a weighted Jaccard similarity of at least ``threshold``; class_id is its least doc_id.
-    Null, empty and blank texts have no shingles: each is a class of its own (size 1). A null
-    doc_id joins only the class of an equal text. Repeated rows are rows of the same class, and
-    their ids count once for each row in class_size. An empty table gives an empty result.
+    a weighted Jaccard similarity of at least ``threshold``; class_id is its least doc_id, null if none of its rows has one.
+    Null, empty and blank texts have no shingles: each is a class of its own (size 1, no keys). Rows with a null doc_id
+    are documents like any other. Repeated rows are rows of the same class, and
+    their ids count once for each row in class_size. An empty table gives an empty result. text_key tells equal texts
+    of a class, class_key the classes of this result (rows that share a doc_id may lie in different ones).
 
     Equal texts are collapsed before banding, so copies are not compared. A bucket emits at most as many links as it
-    has members, never its pairs; a group ships each member's text once (a group of over BLOCK members, once
-    for each other block), and emits a spanning forest of its links.
+    has members, never its pairs.
     """
     spark = documents.sparkSession
     limit_arrow(spark)
@@ -334,37 +390,37 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataF
     same = signed.where("text_key is not null").groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first(F.struct("bands", "sig")).alias("s"))
     same = same.select("text_key", "rep", "copies", "s.bands", "s.sig", F.monotonically_increasing_id().alias("uid"))
     same = materialise(same, f"{base}/same")
-    banded = same.where("rep is not null").select("uid", "rep", F.posexplode("bands").alias("band", "key"))
-    buckets = banded.groupBy("band", "key").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    banded = same.select("uid", F.posexplode("bands").alias("band", "key"))
+    buckets = banded.groupBy("band", "key").agg(F.min("uid").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = materialise(buckets, f"{base}/buckets")
     # by a shuffle at every size, since both sides grow with the corpus; signatures go only where a bucket is shared
     met = materialise(banded.join(buckets.hint("merge"), ["band", "key"]), f"{base}/met")
-    small = met.where(F.col("n") <= BUCKET).join(same.select("uid", "sig").hint("merge"), "uid").select("band", "key", "rep", "sig").repartition(n, "band", "key").sortWithinPartitions("band", "key", "rep")
+    small = met.where(F.col("n") <= BUCKET).join(same.select("uid", "sig").hint("merge"), "uid").select("band", "key", "uid", "sig").repartition(n, "band", "key").sortWithinPartitions("band", "key", "uid")
     candidates = small.mapInArrow(_candidates, "a long, b long").where("a <> b")
-    candidates = candidates.unionByName(met.where((F.col("n") > BUCKET) & (F.col("rep") > F.col("a"))).select("a", F.col("rep").alias("b")))
+    candidates = candidates.unionByName(met.where((F.col("n") > BUCKET) & (F.col("uid") > F.col("a"))).select("a", F.col("uid").alias("b")))
     group = components(materialise(candidates.distinct(), f"{base}/candidates"))
-    group = group.unionByName(group.select(F.col("root").alias("node"), "root").distinct())
-
-    # blocks of a group: one unit for each pair of blocks, a single unit for a small group
-    sizes = group.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    member = group.join(sizes, "root").select("node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    member = materialise(member, f"{base}/members")
-    keyed = same.where("rep is not null").select("text_key", "rep").join(member, F.col("rep") == F.col("node"))
-    found = _texts(texts, keyed)
-    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block"))))
-    units = found.select("root", "rep", "text", "block", other.alias("other")).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "text")
-    units = units.repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j", "rep")
-    edges = materialise(units.mapInArrow(_linked(threshold), "a long, b long"), f"{base}/edges")
-    root = components(edges)
-
-    classes = same.join(root, same.rep == root.node, "left").select("text_key", F.coalesce("root", "rep").alias("class_id"), "copies")
-    sizes = classes.where("class_id is not null").groupBy("class_id").agg(F.sum("copies").alias("class_size"))
-    classes = classes.join(sizes, "class_id", "left").select("text_key", "class_id", F.coalesce("class_size", "copies").alias("class_size"))
-    return signed.select("doc_id", "text_key").join(classes, "text_key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
-
-
-def _texts(texts: DataFrame, keyed: DataFrame) -> DataFrame:
-    """The members of groups with their texts; a repeated row of one gives it twice, which changes no link."""
+    group = group.unionByName(group.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "uid")
+
+    sizes = materialise(group.groupBy("root").agg(F.count(F.lit(1)).alias("size")), f"{base}/sizes")
+    member = materialise(salted_join(group, sizes, "root", hot_keys(sizes, "root", "size"), ["uid"]), f"{base}/members")
+    root = components(_verified(member, _texts(texts, same, member, base), threshold, n, base))
+
+    classes = same.join(root.withColumnRenamed("node", "uid").hint("merge"), "uid", "left").select("text_key", "rep", F.coalesce("root", "uid").alias("class_key"), "copies")
+    classes = materialise(classes, f"{base}/classes")
+    sizes = materialise(classes.groupBy("class_key").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("n")), f"{base}/class_sizes")
+    classes = salted_join(classes, sizes.drop("n"), "class_key", hot_keys(sizes, "class_key"), ["text_key"]).select("text_key", "class_key", "class_id", "class_size", "copies")
+    classes = materialise(classes, f"{base}/keyed")
+    blank = signed.where("text_key is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), "text_key", F.lit(None).cast("long").alias("class_key"))
+    keyed = salted_join(signed.where("text_key is not null").select("doc_id", "text_key"), classes.drop("copies"), "text_key", hot_keys(classes, "text_key", "copies"), ["doc_id"])
+    return keyed.select("doc_id", "class_id", F.col("class_size").cast("long").alias("class_size"), "text_key", "class_key").unionByName(blank)
+
+
+def _texts(texts: DataFrame, same: DataFrame, member: DataFrame, base: str) -> DataFrame:
+    """(uid, text) of the members of groups, one row each."""
     with_key = texts.withColumn("md5", F.unhex(F.md5(F.col("text").cast("binary"))))
-    # always a shuffle of the texts: the members grow with the corpus, so a broadcast would hold at small sizes only
-    return with_key.join(keyed.hint("merge"), (F.col("doc_id") == F.col("rep")) & (F.col("md5") == F.col("text_key"))).select("rep", "root", "blocks", "block", "text")
+    wanted = same.select("uid", "text_key", "rep").join(member.select("uid").hint("merge"), "uid")
+    # always a shuffle of the texts: the members grow with the corpus, so a broadcast would hold at small sizes only;
+    # of equal texts only the rows with the least doc_id go
+    on = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("md5") == F.col("text_key"))
+    found = with_key.join(wanted.hint("merge"), on).select("uid", "text")
+    return materialise(found.groupBy("uid").agg(F.first("text").alias("text")), f"{base}/texts")

@@ -48,7 +48,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return bagminhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

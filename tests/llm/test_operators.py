@@ -554,3 +554,74 @@ def test_dropping_lines_is_linear_in_a_text(spark):
     rows = {r.doc_id: r for r in line_templates.drop_recurring_lines(docs).collect()}
     assert rows[1].text == text and rows[2].n_dropped == 12_000 and rows[3].text == "only this one stays" and time.time() - began < 120
     assert rows[3].n_lines == 12_001 and set(rows[1].asDict()) == {"doc_id", "text", "n_lines", "n_dropped"}
+
+
+def classes_by_hand(docs, threshold=0.8):
+    """doc_id -> class id, over all pairs."""
+    up = {d: d for d, _ in docs}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    bags = [(d, bag(t)) for d, t in docs]
+    for k, (a, x) in enumerate(bags):
+        for b, y in bags[:k]:
+            if x and y and sum((x & y).values()) >= threshold * sum((x | y).values()):
+                p, q = find(a), find(b)
+                up[max(p, q)] = min(p, q)
+    return {d: find(d) for d, _ in docs}
+
+
+@pytest.mark.parametrize("block", [1, 3, 8])
+def test_big_groups_by_a_star_and_the_rest(spark, monkeypatch, block):
+    monkeypatch.setattr(bagminhash, "BLOCK", block)
+    rng = random.Random(block)
+    base = [f"w{j}" for j in range(120)]
+    docs = []
+    for k in range(60):  # chains away from one text: near ones, far ones, and links among the far
+        words = list(rng.choice(docs)[1].split() if docs and rng.random() < 0.7 else base)
+        for _ in range(rng.choice([1, 2, 4])):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        docs.append((k, " ".join(words)))
+    rng.shuffle(docs)
+    got = {r.doc_id: r.class_id for r in bagminhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == classes_by_hand(docs) and len(set(got.values())) < 60
+
+
+def test_rows_without_an_id_link_like_others(spark):
+    base = [f"w{j}" for j in range(100)]
+
+    def text(*changed):
+        return " ".join(f"x{k}" if k in changed else w for k, w in enumerate(base))
+
+    # 1 and 2 are linked only through the text that has no id
+    docs = [(1, text(10, 11, 12, 13)), (None, text()), (None, text()), (2, text(70, 71, 72, 73)), (None, "alone in the world of texts")]
+    rows = bagminhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.class_id or 0, r.class_size) for r in rows) == [(0, 0, 1), (0, 1, 4), (0, 1, 4), (1, 1, 4), (2, 1, 4)]
+
+
+@pytest.mark.skipif(not os.path.exists(f"{DATA}/sf0.01"), reason="needs the driver's tables")
+def test_recall_on_the_tables(spark):
+    """Every pair of sf0.01 that shares a shingle, by exact overlaps."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").collect()]
+    bags = {d: bag(t) for d, t in docs}
+    holders, up = collections.defaultdict(list), {d: d for d, _ in docs}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for d, x in bags.items():
+        for g in x or ():
+            holders[g].append(d)
+    pairs = {(a, b) for h in holders.values() for a in h for b in h if a < b}
+    linked = [(a, b) for a, b in pairs if sum((bags[a] & bags[b]).values()) >= 0.8 * sum((bags[a] | bags[b]).values())]
+    for a, b in linked:
+        p, q = find(a), find(b)
+        up[max(p, q)] = min(p, q)
+    got = {r.doc_id: r.class_id for r in bagminhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert linked and sum(got[a] == got[b] for a, b in linked) >= 0.99 * len(linked)
+    assert all(find(d) == find(c) for d, c in got.items())  # nothing is linked that should not be
