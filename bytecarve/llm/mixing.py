@@ -93,7 +93,7 @@ def _walk(rows: pd.DataFrame) -> pd.DataFrame:
 
 def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST_COPIES, seed: int = SEED) -> DataFrame:
     """One row per row of ``documents`` (doc_id, text, source): doc_id, source, size, source_size long,
-    target double, copies long, taken long (copies * size).
+    target double, copies long, taken long (copies * size), row long (any numbers), text_key long (xxhash64 of the text).
 
     Sources in code-point order, null last, weigh ``weights`` in turn. A null or empty text has size 0 and is taken
     0 times (0 words). Repeated rows count and are drawn as often as they occur, with the same random odds; ties in the
@@ -102,7 +102,7 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     spark = documents.sparkSession
     base = work_dir(spark, "mixing")
     words = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.alias("size"))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.alias("size"), F.xxhash64(F.col("text").cast("string")).alias("text_key"))
     docs = materialise(docs.withColumn("row", F.monotonically_increasing_id()), f"{base}/sizes")
     docs = docs.withColumn("length_class", F.when(F.col("size") > 0, F.floor(F.log2(F.greatest("size", F.lit(1))))).otherwise(0).cast("int"))
     groups = docs.groupBy("source", "length_class").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
@@ -141,4 +141,4 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     docs = docs.join(first, F.col("source").eqNullSafe(F.col("f_source")), "left").join(walked, F.col("row") == F.col("w_row"), "left")
     more = F.when(F.col("slice").isNotNull() & (F.col("stop").isNull() | (F.col("slice") < F.col("stop")) | F.col("w_row").isNotNull()), 1).otherwise(0)
     copies = F.when(F.col("size") > 0, F.col("whole") + more).otherwise(0).cast("long")
-    return docs.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "row")
+    return docs.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "row", "text_key")

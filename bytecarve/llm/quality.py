@@ -74,7 +74,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buf, off, _ = T.utf8(batch.column("text"))
         for i, j in T.slices(off):
             s = statistics(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i).cast(pa.int64()), *[pa.array(s[k]) for k in STATS]], ["doc_id", *STATS])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("text_key").slice(i, j - i), *[pa.array(s[k]) for k in STATS]], ["doc_id", "text_key", *STATS])
 
 
 #: Features of the trees; the sign says how the probability of good quality may move with them (0: freely).
@@ -191,7 +191,8 @@ def fit_labelled(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
 
 
 def judge(documents: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """One row per row of ``documents``: doc_id, the counts in STATS (long), base_failed, kept (boolean), quality (double).
+    """One row per row of ``documents``: doc_id, text_key (xxhash64 of the text), the counts in STATS (long),
+    base_failed, kept (boolean), quality (double).
 
     A null or empty text has no words and fails the base rules. Repeated rows give repeated rows; a null doc_id
     stays null (such rows carry no label). Extra columns are ignored. Without labels of both classes the
@@ -201,7 +202,8 @@ def judge(documents: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT, fit
     spark = documents.sparkSession
     limit_arrow(spark)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    stats = texts.mapInArrow(_measure, ", ".join(["doc_id long", *[f"{k} long" for k in STATS]]))
+    texts = texts.withColumn("text_key", F.xxhash64("text"))
+    stats = texts.mapInArrow(_measure, ", ".join(["doc_id long", "text_key long", *[f"{k} long" for k in STATS]]))
     stats = materialise(stats, work_dir(spark, "quality"))
     trees = fit_labelled(stats, labels, fit_rows)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
