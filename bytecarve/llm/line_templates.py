@@ -2,7 +2,8 @@ r"""Line deduplication by a log-template tree.
 
 Every \n-split line with at least ``min_words`` words walks a tree of fixed depth: token count,
 then its first PREFIX tokens, where tokens with a digit, ``@`` or ``://`` are variable fields
-and walk as one wildcard. In the leaf it joins the template whose fixed tokens it shares at
+and walk as one wildcard; a line with fewer than one fixed token in FIXED (a row of figures) walks with its
+tokens as they are. In the leaf it joins the template whose fixed tokens it shares at
 SIMILARITY or more of all positions (positions that differ become wildcards) or founds a new one.
 A leaf of over LEAF_MAX distinct lines is clustered in salted parts, in rounds for as long as they halve
 it; the templates that are left are then clustered as items of one leaf, whatever their number.
@@ -10,6 +11,10 @@ it; the templates that are left are then clustered as items of one leaf, whateve
 A template recurs if its lines lie in ``min_docs`` documents or more (two suffice for lines of
 ``long_words`` words or more). Lines of a recurring template are dropped, except in the document
 with the least doc_id that has it, so that the corpus keeps each passage once.
+
+A passage may also run over several lines, none of which recurs by itself: a run of lines of one text, each next to
+the one before (shorter lines between them aside), every two neighbours of which stand next to each other, word for
+word, in a document with a lesser doc_id. From ``long_words`` words on such a run is dropped.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textnp as T
@@ -28,6 +33,7 @@ from .shared import hot_keys, limit_arrow, materialise, salted_join, work_dir
 U64 = np.uint64
 PREFIX = 4
 SIMILARITY = 0.7
+FIXED = 3
 LEAF_MAX = 1024
 MIN_WORDS, LONG_WORDS, MIN_DOCS = 3, 50, 3
 _WILD = U64(0x2A2A2A2A2A2A2A2A)
@@ -42,14 +48,17 @@ def _variable(buf: np.ndarray) -> np.ndarray:
 
 
 def parse(buf: np.ndarray, off: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
-    """Lines with enough words: document, line number, words, leaf, template, first word, and all tokens."""
+    """Lines with enough words: document, line number, words, leaf, template, first word, all tokens, and the line word for word."""
     w0, w1, wdoc = T.words(buf, off)
     l0, _, ldoc = T.lines(buf, off)
     line = np.searchsorted(l0, w0, side="right") - 1
     token = T.span_hash(buf, w0, w1)
     seen = np.concatenate([[0], np.cumsum(_variable(buf))])
-    token[seen[w1] > seen[w0]] = _WILD
+    wild = seen[w1] > seen[w0]
     n = np.bincount(line, minlength=len(l0))
+    figures = FIXED * (n - np.bincount(line[wild], minlength=len(l0))) < n
+    spelled = token.copy()
+    token[wild & ~figures[line]] = _WILD
     at = np.flatnonzero(n >= min_words)
     first = np.searchsorted(line, at)
     count = n[at]
@@ -58,11 +67,15 @@ def parse(buf: np.ndarray, off: np.ndarray, min_words: int) -> tuple[np.ndarray,
         has = count > k
         leaf[has] = T.mix(leaf[has] ^ token[first[has] + k]) + U64(k)
     place = np.arange(len(token)) - np.searchsorted(line, line)
-    part = T.mix(token + place.astype(U64) * U64(0x9E3779B97F4A7C15))
-    total = np.concatenate([np.zeros(1, U64), np.cumsum(part)])
-    template = T.mix(total[first + count] - total[first] + leaf)
+
+    def whole(words: np.ndarray) -> np.ndarray:
+        part = T.mix(words + place.astype(U64) * U64(0x9E3779B97F4A7C15))
+        total = np.concatenate([np.zeros(1, U64), np.cumsum(part)])
+        return total[first + count] - total[first]
+
+    template = T.mix(whole(token) + leaf)
     number = at - np.searchsorted(ldoc, ldoc[at])
-    return ldoc[at], number, count, leaf, template, first, token
+    return ldoc[at], number, count, leaf, template, first, token, T.mix(whole(spelled) + count.astype(U64))
 
 
 def _leaves(min_words: int):
@@ -77,18 +90,28 @@ def _leaves(min_words: int):
     return run
 
 
+_FOUND = "leaf long, template long, doc_id long, text_key long, line int, n_words int, tokens binary, pair long, after int, after_words int"
+
+
 def _lines(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off, _ = T.utf8(batch.column("text"))
-            ids = batch.column("doc_id").cast(pa.int64())
+            ids, keys = batch.column("doc_id").cast(pa.int64()), batch.column("text_key")
             for i, j in T.slices(off):
-                doc, number, count, leaf, template, first, token = parse(buf[off[i] : off[j]], off[i : j + 1] - off[i], min_words)
+                doc, number, count, leaf, template, first, token, exact = parse(buf[off[i] : off[j]], off[i : j + 1] - off[i], min_words)
                 short = (token >> U64(48)).astype("<u2")
                 begin = np.concatenate([[0], np.cumsum(count)])
                 which = np.arange(begin[-1]) - np.repeat(begin[:-1] - first, count)
                 tokens = pa.Array.from_buffers(pa.large_binary(), len(count), [None, pa.py_buffer((begin * 2).astype(np.int64).tobytes()), pa.py_buffer(short[which].tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int64)), pa.array(template.astype(np.int64)), ids.take(pa.array(doc + i)), pa.array(number.astype(np.int32)), pa.array(count.astype(np.int32)), tokens], ["leaf", "template", "doc_id", "line", "n_words", "tokens"])
+                # with the line below it in the same text: its number and words, and a hash of both lines
+                below = np.append(doc[1:] == doc[:-1], np.zeros(min(len(doc), 1), bool))
+                after = np.where(below, np.roll(number, -1), -1).astype(np.int32)
+                after_words = np.where(below, np.roll(count, -1), 0).astype(np.int32)
+                pair = T.mix(exact * U64(3) + np.roll(exact, -1))
+                which = pa.array(doc + i)
+                columns = [leaf.astype(np.int64), template.astype(np.int64), ids.take(which), keys.take(which), number.astype(np.int32), count.astype(np.int32), tokens, pair.astype(np.int64), after, after_words]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c) for c in columns], _FOUND.replace(",", "").split()[::2])
 
     return run
 
@@ -192,15 +215,32 @@ def _generalise(items: DataFrame, base: str) -> DataFrame:
         k += 1
 
 
+def _passages(found: DataFrame, long_words: int, base: str) -> DataFrame:
+    """(doc_id, line, cluster): lines of passages over several lines that an earlier document has; ``cluster`` is a hash of one pair."""
+    pairs = found.where("after >= 0")
+    shared = pairs.groupBy("pair").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
+    shared = materialise(shared.select("pair", "low", "n"), f"{base}/shared")
+    linked = pairs.select("doc_id", "text_key", "line", "n_words", "pair", "after", "after_words")
+    linked = salted_join(linked, shared.select("pair", "low"), "pair", hot_keys(shared, "pair"), ["doc_id", "line"]).where("doc_id > low").drop("low").distinct()
+    text = Window.partitionBy("doc_id", "text_key").orderBy("line")
+    begins = F.when(F.lag("after").over(text) == F.col("line"), 0).otherwise(1)
+    runs = linked.withColumn("begins", begins).withColumn("run", F.sum("begins").over(text)).groupBy("doc_id", "text_key", "run")
+    last = F.max(F.struct("line", "after", "after_words"))
+    runs = runs.agg(F.collect_list("line").alias("lines"), F.sum("n_words").alias("words"), last.alias("last"), F.min("pair").alias("cluster"))
+    runs = runs.where(F.col("words") + F.col("last.after_words") >= long_words)
+    return runs.select("doc_id", F.explode(F.concat("lines", F.array("last.after"))).alias("line"), "cluster")
+
+
 def recurring_lines(documents: DataFrame, min_words: int = MIN_WORDS, min_docs: int = MIN_DOCS, long_words: int = LONG_WORDS) -> DataFrame:
     """(doc_id, line int, cluster long): the lines that the tree drops; line numbers start at 0."""
     spark = documents.sparkSession
     limit_arrow(spark)
     base = work_dir(spark, "lines")
     texts = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    keyed = texts.withColumn("text_key", F.xxhash64("text"))
     leaves = texts.mapInArrow(_leaves(min_words), "leaf long, doc_id long").groupBy("leaf").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("leaf", "n")
     leaves = materialise(leaves, f"{base}/leaves")
-    found = texts.mapInArrow(_lines(min_words), "leaf long, template long, doc_id long, line int, n_words int, tokens binary")
+    found = keyed.mapInArrow(_lines(min_words), _FOUND)
     found = materialise(salted_join(found, leaves.select("leaf"), "leaf", hot_keys(leaves, "leaf"), ["doc_id", "line"], "left_semi"), f"{base}/found")
 
     forms = materialise(found.groupBy("leaf", "template").agg(F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("lines")), f"{base}/forms")
@@ -215,7 +255,8 @@ def recurring_lines(documents: DataFrame, min_words: int = MIN_WORDS, min_docs:
     docs = docs.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"), F.max("words").alias("words"), F.sum("n").alias("n"))
     recurs = materialise(docs.where((F.col("n_docs") >= min_docs) | ((F.col("n_docs") >= 2) & (F.col("words") >= long_words))), f"{base}/recurs")
     kept = salted_join(joined, recurs.select("cluster", "first_doc"), "cluster", hot_keys(recurs, "cluster"), ["doc_id", "line"])
-    return kept.where("doc_id > first_doc").select("doc_id", "line", "cluster").distinct()
+    kept = kept.where("doc_id > first_doc").select("doc_id", "line", "cluster").unionByName(_passages(found, long_words, base))
+    return kept.groupBy("doc_id", "line").agg(F.min("cluster").alias("cluster"))
 
 
 def drop_recurring_lines(documents: DataFrame, **options) -> DataFrame:

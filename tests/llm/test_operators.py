@@ -145,6 +145,45 @@ def test_big_leaf_generalises(spark):
     assert [r.doc_id for r in kept] == [0]
 
 
+def test_passages_over_several_lines(spark):
+    rng = random.Random(5)
+    line = lambda n: " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(n))
+    pool = [[line(rng.randint(3, 25)) for _ in range(rng.randint(1, 6))] for _ in range(60)]
+    docs = []
+    for k in range(80):
+        lines = []
+        for _ in range(rng.randint(1, 5)):
+            lines += rng.choice([[line(9)], ["ok", ""], *rng.sample(pool, 8)])
+        docs.append((k, "\n".join(lines)))
+    docs += [docs[7], (8, docs[9][1]), (8, docs[30][1]), (90, docs[3][1]), (91, None), (92, ""), (None, docs[4][1])]
+    judged = [(d, [(i, x.split()) for i, x in enumerate(t.split("\n")) if len(x.split()) >= 3]) for d, t in docs if d is not None and t]
+    low = {}
+    for d, lines in judged:
+        for (_, a), (_, b) in zip(lines, lines[1:]):
+            pair = (tuple(a), tuple(b))
+            low[pair] = min(d, low.get(pair, d))
+    want = set()
+    for d, lines in judged:
+        run = lines[:1]
+        for a, b in [*zip(lines, lines[1:]), (None, None)]:
+            if a and low[tuple(a[1]), tuple(b[1])] < d:
+                run.append(b)
+                continue
+            if len(run) > 1 and sum(len(x) for _, x in run) >= 50:
+                want |= {(d, i) for i, _ in run}
+            run = [b]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = [(r.doc_id, r.line) for r in line_templates.recurring_lines(frame, min_docs=10**6).collect()]
+    assert len(want) > 100 and len(got) == len(set(got)) and set(got) == want
+
+
+def test_rows_of_figures_recur_by_their_text_only(spark):
+    table = lambda k: "\n".join(f"{1990 + j} {k}.{j} {k * j}.5 -{j}" for j in range(20))
+    docs = [(k, f"{table(k)}\ntotal of 17 items was {k} in the end") for k in range(1, 6)] + [(9, table(1))]
+    rows = {r.doc_id: r for r in line_templates.drop_recurring_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [rows[k].n_dropped for k in (1, 2, 3, 4, 5, 9)] == [0, 1, 1, 1, 1, 20]
+
+
 def test_merge_by_blocks(monkeypatch):
     rng = np.random.default_rng(7)
     for width in (3, 5, 6, 9, 20):
