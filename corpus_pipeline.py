@@ -25,6 +25,8 @@ LABELS = "labels"
 
 #: Texts without a word, which have neither shingles nor a size.
 BLANK = r"^[\x20\x09-\x0D]*$"
+#: A line that line dedup judges: of three words (its MIN_WORDS) or more.
+JUDGED = r"(?:[^\x20\x09-\x0D]++[\x20\x09\x0B-\x0D]++){2}[^\x20\x09-\x0D]"
 
 
 def _keep(docs: DataFrame, verdict: DataFrame) -> DataFrame:
@@ -41,9 +43,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring lines go; a document of which no line is left goes as well. n_chars follows the text."""
+    """Recurring lines go; a document of which no line is left that was judged, if any, goes as well: a copy in all but
+    lines of one or two words. n_chars follows the text."""
     out = line_templates.drop_recurring_lines(docs.select(*COLUMNS))
-    out = out.where((F.col("n_dropped") == 0) | ~F.col("text").rlike(BLANK))
+    out = out.where((F.col("n_dropped") == 0) | F.col("text").rlike(JUDGED))
     chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", chars).select(*COLUMNS)
 
