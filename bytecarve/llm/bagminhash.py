@@ -424,3 +424,31 @@ def _texts(texts: DataFrame, same: DataFrame, member: DataFrame, base: str) -> D
     on = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("md5") == F.col("text_key"))
     found = with_key.join(wanted.hint("merge"), on).select("uid", "text")
     return materialise(found.groupBy("uid").agg(F.first("text").alias("text")), f"{base}/texts")
+
+
+#: Every pair of different texts that shares a shingle, by exact overlaps, and the closure of the links.
+SQL = r"""
+WITH RECURSIVE texts AS (
+  SELECT row_number() OVER () AS k, min(doc_id) AS low, count(*) AS copies, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w
+  FROM documents WHERE regexp_matches(text, '[^\x20\x09-\x0D]') GROUP BY text),
+bags AS (
+  SELECT k, array_to_string(w[i:i + 4], ' ') AS shingle, count(*) AS n
+  FROM texts, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS place(i) GROUP BY ALL),
+totals AS (SELECT k, sum(n) AS total FROM bags GROUP BY k),
+shared AS (
+  SELECT a.k AS a, b.k AS b, sum(least(a.n, b.n)) AS least
+  FROM bags AS a JOIN bags AS b ON a.shingle = b.shingle AND a.k < b.k GROUP BY ALL),
+links AS (
+  SELECT a, b FROM shared JOIN totals AS x ON x.k = a JOIN totals AS y ON y.k = b
+  WHERE 5 * least >= 4 * (x.total + y.total - least)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (
+  SELECT k AS a, k AS b FROM texts
+  UNION SELECT reached.a, ways.b FROM reached JOIN ways ON reached.b = ways.a),
+classes AS (
+  SELECT a AS k, min(low) AS class_id, sum(copies) AS class_size FROM reached JOIN texts ON reached.b = texts.k GROUP BY a)
+SELECT doc_id, class_id, CAST(class_size AS BIGINT) AS class_size
+FROM documents JOIN texts USING (text) JOIN classes USING (k)
+UNION ALL
+SELECT doc_id, doc_id, 1 FROM documents WHERE text IS NULL OR NOT regexp_matches(text, '[^\x20\x09-\x0D]')
+"""

@@ -68,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where it can express the operator; the others are tested against brute force."""
-    return {"op2_exact_topk": topk.SQL, "op5_chat_formatting": chat.SQL, "op10_warc": warc.SQL}
+    return {"op2_exact_topk": topk.SQL, "op5_chat_formatting": chat.SQL, "op9_near_dedup": bagminhash.SQL, "op10_warc": warc.SQL}
