@@ -11,7 +11,7 @@ STRIDE = 1 << 20
 class View:
     """Bytes [base, base + limit) of a source; reads past the end are short, numbers past the end are 0."""
 
-    BLOCK, KEPT = 1 << 16, 64
+    BLOCK, KEPT, LONG = 1 << 16, 64, 8
 
     def __init__(self, pread: Callable[[int, int], bytes], size: int, base: int, limit: int) -> None:
         self.pread, self.base = pread, base
@@ -34,7 +34,7 @@ class View:
         first, last = at // self.BLOCK, (end - 1) // self.BLOCK
         if first == last:
             return self._block(first)[at - first * self.BLOCK : end - first * self.BLOCK]
-        if last - first >= self.KEPT:
+        if last - first >= self.LONG:  # long reads run through the source and are seldom read again
             return self.pread(self.base + at, end - at)
         return b"".join(self._block(k) for k in range(first, last + 1))[at - first * self.BLOCK : end - first * self.BLOCK]
 
