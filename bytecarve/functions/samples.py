@@ -156,32 +156,36 @@ def plist() -> bytes:
     return b"bplist00" + b"\x09" + b"\x08" + bytes(6) + bytes((1, 1)) + struct.pack(">QQQ", 1, 0, 9)
 
 
-def ewf_set(raw: str, path: str, per_chunk: int = 2, packed: bool = True, segments: int = 1, extra: int = 0) -> list[str]:
-    """Write the file ``raw`` as an EWF set that begins at ``path`` (.E01), chunk by chunk; ``extra`` chunks are declared but missing."""
+def ewf_set(raw: str, path: str, segments: int = 1, **options) -> list[str]:
+    """Write the file ``raw`` as an EWF set that begins at ``path`` (.E01); see ``ewf_segment``."""
+    return [ewf_segment(raw, path, k, segments, **options) for k in range(segments)]
+
+
+def ewf_segment(raw: str, path: str, k: int, segments: int = 1, per_chunk: int = 2, packed: bool = True, extra: int = 0) -> str:
+    """Write the ``k``-th segment of the set, chunk by chunk; ``extra`` chunks are declared but missing."""
     chunk = 512 * per_chunk
     size = os.path.getsize(raw)
     n = -(-size // chunk)
-    out = []
-    with open(raw, "rb") as data:
-        for k in range(segments):
-            out.append(f"{path[:-2]}{k + 1:02d}")
-            with open(out[-1], "wb") as f:
-                f.write(b"EVF\x09\x0d\x0a\xff\x00\x01" + struct.pack("<HH", k + 1, 0))
-                if k == 0:
-                    body = struct.pack("<IIIIQ", 1, n + extra, per_chunk, 512, -(-size // 512)).ljust(1052, b"\0")
-                    f.write(_section(b"volume", 13, len(body)) + body)
-                begin, offsets = f.tell(), []
-                f.write(bytes(76))
-                for _ in range(n * k // segments, n * (k + 1) // segments):
-                    offsets.append(f.tell())
-                    part = data.read(chunk).ljust(chunk, b"\0")
-                    f.write(zlib.compress(part) if packed else part)
-                end = f.tell()
-                table = struct.pack("<IIQII", len(offsets), 0, 0, 0, 0) + b"".join(struct.pack("<I", o | (packed << 31)) for o in offsets)
-                f.write(_section(b"table", end, len(table)) + table)
-                f.write(_section(b"done" if k == segments - 1 else b"next", f.tell(), 0, last=True))
-                f.seek(begin)
-                f.write(_section(b"sectors", begin, end - begin - 76))
+    low, high = n * k // segments, n * (k + 1) // segments
+    out = f"{path[:-2]}{k + 1:02d}"
+    with open(raw, "rb") as data, open(out, "wb") as f:
+        data.seek(low * chunk)
+        f.write(b"EVF\x09\x0d\x0a\xff\x00\x01" + struct.pack("<HH", k + 1, 0))
+        if k == 0:
+            body = struct.pack("<IIIIQ", 1, n + extra, per_chunk, 512, -(-size // 512)).ljust(1052, b"\0")
+            f.write(_section(b"volume", 13, len(body)) + body)
+        begin, offsets = f.tell(), []
+        f.write(bytes(76))
+        for _ in range(low, high):
+            offsets.append(f.tell())
+            part = data.read(chunk).ljust(chunk, b"\0")
+            f.write(zlib.compress(part) if packed else part)
+        end = f.tell()
+        table = struct.pack("<IIQII", len(offsets), 0, 0, 0, 0) + b"".join(struct.pack("<I", o | (packed << 31)) for o in offsets)
+        f.write(_section(b"table", end, len(table)) + table)
+        f.write(_section(b"done" if k == segments - 1 else b"next", f.tell(), 0, last=True))
+        f.seek(begin)
+        f.write(_section(b"sectors", begin, end - begin - 76))
     return out
 
 

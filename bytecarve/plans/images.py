@@ -27,7 +27,8 @@ EVERY = sorted(SAMPLES)
 def images(spark: SparkSession, sf_dir: str, files: list[bytes], each: bool = False, ewf: dict | None = None) -> list[str]:
     """Write IMAGES files of (GAP zeros, "x", text, "x", files) for each document in order of doc_id; their paths.
 
-    ``each``: a document gets one of ``files``, by doc_id. Every image is written as a stream by one task.
+    ``each``: a document gets one of ``files``, by doc_id. Every image is written as a stream by one task, every EWF
+    segment of it by another.
     """
     folder = plain(work_dir(spark, "images"))
     if "://" in folder:
@@ -48,13 +49,24 @@ def images(spark: SparkSession, sf_dir: str, files: list[bytes], each: bool = Fa
                 out.write(bytes(GAP) + b"x" + (row["text"] or "").encode() + b"x" + tail)
         if out:
             out.close()
-        if ewf is not None:
-            done = [S.ewf_set(p, p[:-2] + "E01", **ewf)[0] for p in done]
         yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["path"])
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.pmod("doc_id", F.lit(IMAGES)).alias("image"))
     docs = docs.repartitionByRange(IMAGES, "image").sortWithinPartitions("image", "doc_id")
-    return sorted(r.path for r in docs.mapInArrow(write, "path string").collect())
+    paths = sorted(r.path for r in docs.mapInArrow(write, "path string").collect())
+    if ewf is None:
+        return paths
+    segments = ewf.get("segments", 1)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            todo = [(paths[i // segments], i % segments) for i in batch.column("id").to_pylist()]
+            done = [S.ewf_segment(p, p[:-2] + "E01", k, **ewf) for p, k in todo]
+            yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["path"])
+
+    n = len(paths) * segments  # a task for each segment
+    done = spark.range(0, n, 1, n).mapInArrow(pack, "path string").collect()
+    return sorted(r.path for r in done if r.path.endswith(".E01"))
 
 
 def _image(path: str = "source_id"):

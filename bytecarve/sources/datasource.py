@@ -24,6 +24,9 @@ FIELDS = ["source_id", "ord", "type", "offset", "size", "ext", "validated"]
 FOUND = SCHEMA + ", hidden long"
 _ARROW = pa.schema([("source_id", pa.string()), ("ord", pa.int64()), ("type", pa.string()), ("offset", pa.int64()), ("size", pa.int64()), ("ext", pa.string()), ("validated", pa.bool_()), ("hidden", pa.int64())])
 BATCH = 8192
+#: Ranges of one source up to which each has a task of its own; of more, neighbours share a task of up to TASK_BYTES
+#: (a task costs a tenth of a second before it reads anything).
+TASKS, TASK_BYTES = 16, 16 << 20
 
 
 def candidate_batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
@@ -38,8 +41,10 @@ def candidate_batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
 
 
 class ChunkRange(InputPartition):
-    def __init__(self, path: str, first: int, chunks: int) -> None:
-        self.path, self.first, self.chunks = path, first, chunks
+    """``ranges`` ranges of ``chunks`` chunks, one after the other; each is scanned by itself."""
+
+    def __init__(self, path: str, first: int, chunks: int, ranges: int = 1) -> None:
+        self.path, self.first, self.chunks, self.ranges = path, first, chunks, ranges
 
 
 class CandidateReader(DataSourceReader):
@@ -52,17 +57,20 @@ class CandidateReader(DataSourceReader):
         step = o.chunk_size * self.per_task
         for path in self.paths:
             end = o.end(open_source(path, o.on_corrupt).size)
-            for base in range(o.start, end, step):
-                # a file starts at its magic or up to four bytes before it
-                if base + step > self.low and (self.high is None or base <= self.high + 4):
-                    out.append(ChunkRange(path, (base - o.start) // o.chunk_size, self.per_task))
+            # a file starts at its magic or up to four bytes before it
+            bases = [b for b in range(o.start, end, step) if b + step > self.low and (self.high is None or b <= self.high + 4)]
+            share = max(1, min(TASK_BYTES // step, len(bases) // TASKS))
+            for k in range(0, len(bases), share):
+                out.append(ChunkRange(path, (bases[k] - o.start) // o.chunk_size, self.per_task, min(share, len(bases) - k)))
         return out or [ChunkRange("", 0, 0)]
 
     def read(self, partition: ChunkRange) -> Iterator[pa.RecordBatch]:
         if not partition.chunks:
             return
         tally, path = Tally(), partition.path
-        rows = scan(opened(path, self.options.on_corrupt), self.options, partition.first, partition.chunks, tally)
+        source = opened(path, self.options.on_corrupt)
+        firsts = range(partition.first, partition.first + partition.ranges * partition.chunks, partition.chunks)
+        rows = (c for first in firsts for c in scan(source, self.options, first, partition.chunks, tally))
         yield from candidate_batches((path, c.ord, c.type, c.offset, c.size, c.ext, c.validated, c.hidden) for c in rows)
         told = [(path, partition.first, None, 0, n, name, False, None) for name, n in (("blank", tally.blank_bytes), ("corrupt", tally.corrupt)) if n]
         yield from candidate_batches(iter(told))

@@ -362,6 +362,49 @@ def test_ewf_segments_and_corrupt_chunks(spark, tmp_path):
         open_source(first[0])
 
 
+def test_small_ewf_chunks_are_inflated_once(tmp_path, monkeypatch):
+    import bytecarve.sources.readers as readers
+
+    raw = tmp_path / "a.dd"
+    data = random.Random(3).randbytes(400_000)
+    raw.write_bytes(data)
+    first = S.ewf_set(str(raw), str(tmp_path / "a.E01"), segments=3)[0]
+    inflated = []
+    real = readers.zlib.decompressobj
+    monkeypatch.setattr(readers.zlib, "decompressobj", lambda: inflated.append(1) or real())
+    source = open_source(first)
+    for at in range(0, 330_000, 5000):  # long reads that overlap, as walks of near candidates make them
+        assert source.pread(at, 1 << 16) == data[at : at + (1 << 16)]
+    assert len(inflated) <= source.chunks
+    with open(first, "r+b") as f:
+        f.seek(source.place[20] + 2)
+        f.write(b"\xff" * 20)
+    source = open_source(first)  # a corrupt chunk fails where it is read, not beside it
+    assert source.pread(0, 20 * 1024) == data[: 20 * 1024] and source.pread(21 * 1024, 90_000) == data[21 * 1024 :][:90_000]
+    with pytest.raises(SourceError, match="chunk 20 is corrupt"):
+        source.pread(20 * 1024, 1)
+
+
+def test_search_begins_short():
+    from bytecarve.functions.view import View
+
+    data, read = bytes(100) + b"needle" + bytes(3_000_000) + b"far", []
+    view = View(lambda at, n: read.append(n) or data[at : at + n], len(data), 0, len(data))
+    assert view.find(b"needle", 0) == 100 and sum(read) <= 1 << 16
+    assert view.find(b"far", 0) == len(data) - 3 and view.find(b"none", 0) == -1
+
+
+def test_many_ranges_share_tasks(spark, tmp_path):
+    path = tmp_path / "a.dd"
+    path.write_bytes((bytes(3000) + S.png() + bytes(1000) + S.zip_("x", S.png())) * 60)
+    o = make_options("png,zip", chunk_size=512)
+    found = candidates(spark, str(path), o)
+    assert found.rdd.getNumPartitions() <= 40
+    assert found.where("type = 'png' and size > 0").select("offset").distinct().count() >= 60
+    whole = {tuple(r) for r in carve(spark, str(path), "png,zip").select("type", "offset", "size", "sha256").collect()}
+    assert {tuple(r) for r in carve(spark, str(path), "png,zip", chunk_size=512).select("type", "offset", "size", "sha256").collect()} == whole and len(whole) == 120
+
+
 def test_offset_filters_leave_tasks_out(spark, image):
     path, data, truth = image
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
