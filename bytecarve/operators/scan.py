@@ -146,6 +146,8 @@ def scan_chunk(source, options: Options, matcher: Matcher, base: int, tally: Tal
             cap = min(sig.max_size, end - start, *([options.max_size] if options.max_size else []))
             found = sig.walk(View(source.pread, source.size, start, cap), options.parity) if cap > 0 else None
             size = min(found.size, source.size - start) if found else 0
+            if start + size > end and not options.parity:  # past a range that ends before the source does
+                size = 0 if found.validated else end - start
             if size < max(options.min_size, 1):
                 yield Candidate(base + i, name, start, 0, "", False)
                 continue

@@ -24,8 +24,8 @@ FIELDS = ["source_id", "ord", "type", "offset", "size", "ext", "validated"]
 FOUND = SCHEMA + ", hidden long"
 _ARROW = pa.schema([("source_id", pa.string()), ("ord", pa.int64()), ("type", pa.string()), ("offset", pa.int64()), ("size", pa.int64()), ("ext", pa.string()), ("validated", pa.bool_()), ("hidden", pa.int64())])
 BATCH = 8192
-#: Ranges of one source up to which each has a task of its own; of more, neighbours share a task of up to TASK_BYTES
-#: (a task costs a tenth of a second before it reads anything).
+#: A source of many ranges has TASKS tasks or more: neighbours share one, up to TASK_BYTES (a task costs a tenth of a
+#: second before it reads anything).
 TASKS, TASK_BYTES = 16, 16 << 20
 
 

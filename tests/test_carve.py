@@ -405,6 +405,18 @@ def test_many_ranges_share_tasks(spark, tmp_path):
     assert {tuple(r) for r in carve(spark, str(path), "png,zip", chunk_size=512).select("type", "offset", "size", "sha256").collect()} == whole and len(whole) == 120
 
 
+def test_range_holds_whole_files(spark):
+    data, n = bytes(1000) + S.png() + bytes(1000), len(S.png())
+    frame = spark.createDataFrame([("a", data)], "id string, data binary")
+    for cut in range(n + 3):  # the range ends ``cut`` bytes behind the file's start
+        found = carve_column(frame, "id", "data", "png", start=500, length=500 + cut).collect() if cut in (0, n - 5, n, n + 2) else None
+        rows = [(c.offset, c.size) for c in scan(BytesSource(data), make_options("png", start=500, length=500 + cut)) if c.size]
+        assert rows == ([(1000, n)] if cut >= n else [])
+        assert found is None or [(r.offset, r.size) for r in found] == rows
+    whole = [(c.offset, c.size) for c in scan(BytesSource(data), make_options("png", start=500, length=499 + n, parity=True)) if c.size]
+    assert whole == [(1000, n)]  # the original reads on past the range
+
+
 def test_offset_filters_leave_tasks_out(spark, image):
     path, data, truth = image
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
