@@ -53,16 +53,23 @@ def _planted(kind: str, data: bytes, **options) -> Query:
 
 
 def _intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Made-up records from lineitem: a source per part, an offset per order, a size per quantity."""
+    """Made-up records from lineitem: a source per part, an offset per order, a size per quantity.
+
+    Of lines with the same part, order and number the first in the table's files stays, as the SQL's DISTINCT ON, which
+    orders nothing, takes it when it reads the table in one thread.
+    """
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return lines.select(
+    place = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("ord")
+    row = F.struct("_metadata.file_path", "_metadata.row_index", "l_quantity", "l_returnflag")
+    first = lines.select("l_partkey", place, row.alias("row")).groupBy("l_partkey", "ord").agg(F.min("row").alias("row"))
+    return first.select(
         F.col("l_partkey").cast("string").alias("source_id"),
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("ord"),
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("offset"),
-        (F.col("l_quantity") * 4000).cast("long").alias("size"),
-        (F.col("l_returnflag") != "A").alias("validated"),
-        F.concat("l_returnflag", F.lit("/"), F.col("l_quantity").cast("int").cast("string")).alias("sha256"),
-    ).dropDuplicates(["source_id", "ord"])
+        "ord",
+        F.col("ord").alias("offset"),
+        (F.col("row.l_quantity") * 4000).cast("long").alias("size"),
+        (F.col("row.l_returnflag") != "A").alias("validated"),
+        F.concat("row.l_returnflag", F.lit("/"), F.col("row.l_quantity").cast("int").cast("string")).alias("sha256"),
+    )
 
 
 _INTERVALS = """

@@ -7,6 +7,7 @@ import random
 import struct
 import time
 import zlib
+from collections import Counter
 
 import pytest
 
@@ -417,6 +418,26 @@ def test_range_holds_whole_files(spark):
     assert whole == [(1000, n)]  # the original reads on past the range
 
 
+@pytest.mark.parametrize("name", ["containment"])
+def test_first_of_equal_lines_stays(spark, tmp_path, name):
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from bytecarve.plans.queries import oracle_sql, queries
+
+    folder = tmp_path / "lineitem.parquet"
+    folder.mkdir()
+    for k, n in enumerate((40, 4000)):  # the second file is the larger one and has other quantities and flags
+        rows = range(1, n + 1)
+        table = {"l_orderkey": list(rows), "l_partkey": [i % 5 for i in rows], "l_linenumber": [1] * n, "l_quantity": [float(1 + (i + 7 * k) % 50) for i in rows], "l_returnflag": ["ANR"[(i + k) % 3] for i in rows]}
+        pq.write_table(pa.table(table, pa.schema([("l_orderkey", pa.int64()), ("l_partkey", pa.int64()), ("l_linenumber", pa.int32()), ("l_quantity", pa.float64()), ("l_returnflag", pa.string())])), folder / f"part-{k}.parquet")
+    con = duckdb.connect()
+    con.execute("SET threads=1")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{folder}/*.parquet'")
+    assert Counter(tuple(r) for r in queries()[name](spark, str(tmp_path)).collect()) == Counter(con.execute(oracle_sql()[name]).fetchall())
+
+
 def test_offset_filters_leave_tasks_out(spark, image):
     path, data, truth = image
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
