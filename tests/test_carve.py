@@ -418,7 +418,7 @@ def test_range_holds_whole_files(spark):
     assert whole == [(1000, n)]  # the original reads on past the range
 
 
-@pytest.mark.parametrize("name", ["containment", "dedup"])
+@pytest.mark.parametrize("name", ["containment", "dedup", "skip_ahead"])
 def test_first_of_equal_lines_stays(spark, tmp_path, name):
     import duckdb
     import pyarrow as pa
