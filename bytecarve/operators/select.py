@@ -8,6 +8,8 @@ task holds a whole source; both ways give the same rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -118,8 +120,14 @@ def containment(records: DataFrame) -> DataFrame:
 
 
 def mark_duplicates(records: DataFrame, order: str = "ord") -> DataFrame:
-    """Adds ``duplicate_of``: the offset of the first record with the same sha256, null for that first one."""
-    first = records.groupBy(*KEY, "sha256").agg(F.min(F.struct(order, "offset")).alias("__first"))
-    df = records.join(first, [*KEY, "sha256"])
-    later = F.struct(order, "offset") != F.col("__first")
-    return df.withColumn("duplicate_of", F.when(later, F.col("__first.offset"))).drop("__first")
+    """Adds ``duplicate_of``: the offset of the first record with the same sha256, null for that first one.
+
+    Null sources and digests are values like others, so no record is lost; a null place comes last.
+    """
+    place = F.struct(F.col(order).isNull().alias("a"), F.col(order).alias("b"), F.col("offset").isNull().alias("c"), "offset")
+    first = records.groupBy(*KEY, "sha256").agg(F.min(place).alias("__first"))
+    keys = [*KEY, "sha256"]
+    first = first.withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    df = records.join(first, same).drop(*[f"__{k}" for k in keys])
+    return df.withColumn("duplicate_of", F.when(place != F.col("__first"), F.col("__first.offset"))).drop("__first")

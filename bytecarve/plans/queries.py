@@ -56,7 +56,7 @@ def _intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Made-up records from lineitem: a source per part, an offset per order, a size per quantity.
 
     Of lines with the same part, order and number the first in the table's files stays, as the SQL's DISTINCT ON, which
-    orders nothing, takes it when it reads the table in one thread.
+    orders nothing, takes it when it reads the table in one thread. Fractions are rounded half to even, as its CASTs do.
     """
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     place = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("ord")
@@ -66,9 +66,9 @@ def _intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_partkey").cast("string").alias("source_id"),
         "ord",
         F.col("ord").alias("offset"),
-        (F.col("row.l_quantity") * 4000).cast("long").alias("size"),
+        F.rint(F.col("row.l_quantity") * 4000).cast("long").alias("size"),
         (F.col("row.l_returnflag") != "A").alias("validated"),
-        F.concat("row.l_returnflag", F.lit("/"), F.col("row.l_quantity").cast("int").cast("string")).alias("sha256"),
+        F.concat("row.l_returnflag", F.lit("/"), F.rint("row.l_quantity").cast("int").cast("string")).alias("sha256"),
     )
 
 

@@ -438,6 +438,31 @@ def test_first_of_equal_lines_stays(spark, tmp_path, name):
     assert Counter(tuple(r) for r in queries()[name](spark, str(tmp_path)).collect()) == Counter(con.execute(oracle_sql()[name]).fetchall())
 
 
+@pytest.mark.parametrize("name", ["dedup"])
+@pytest.mark.parametrize("odd", ["l_orderkey", "l_partkey", "l_quantity", "l_returnflag", "fraction"])
+def test_odd_lines_as_in_sql(spark, tmp_path, name, odd):
+    """Lines without one of their values, or with a quantity that is no whole number."""
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from bytecarve.plans.queries import oracle_sql, queries
+
+    rnd = random.Random(5)
+    kinds = {"l_orderkey": pa.int64(), "l_partkey": pa.int64(), "l_linenumber": pa.int32(), "l_quantity": pa.float64(), "l_returnflag": pa.string()}
+    rows = [{"l_orderkey": i * 3, "l_partkey": i % 13, "l_linenumber": rnd.randint(1, 7), "l_quantity": rnd.randint(1, 40) / 1000, "l_returnflag": rnd.choice("ANR")} for i in range(2600)]
+    for row in rows:
+        if odd == "fraction":
+            row["l_quantity"] = rnd.choice((0.5, 1.5, 2.7, 0.000125, 0.000375))
+        elif rnd.random() < 0.01:
+            row[odd] = None
+    pq.write_table(pa.Table.from_pylist(rows, pa.schema(list(kinds.items()))), tmp_path / "lineitem.parquet")
+    con = duckdb.connect()
+    con.execute("SET threads=1")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    assert Counter(tuple(r) for r in queries()[name](spark, str(tmp_path)).collect()) == Counter(con.execute(oracle_sql()[name]).fetchall())
+
+
 def test_offset_filters_leave_tasks_out(spark, image):
     path, data, truth = image
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
