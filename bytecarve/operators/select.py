@@ -21,6 +21,8 @@ BUCKET = 1 << 30
 #: Rows of a source up to which one task orders them all.
 FOLD_ROWS = 1_000_000
 KEY = ["source_id"]
+#: The end of a validated record of unknown size: nothing starts behind it.
+NEVER = (1 << 63) - 1
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -60,13 +62,15 @@ def _folded(candidates: DataFrame, keys: list[str], woken: bool) -> DataFrame:
         for rows in batches:
             keep, told = np.zeros(len(rows), bool), np.zeros(len(rows), np.int64)
             for k, (now, offset, size, sure) in enumerate(zip(zip(*(rows[c] for c in keys)), rows.offset, rows["size"], rows.validated)):
-                if now != key:
+                first = now != key
+                if first:
                     key, free = now, -1
                 told[k] = free
-                if offset >= free:
+                if offset >= free or first and offset != offset:  # an unknown place is nan
                     keep[k] = True
                     if sure:
-                        free = offset + size
+                        end = offset + size
+                        free = end if end == end else NEVER
             if woken:
                 also = rows.hidden.notna().to_numpy() & (told < (rows.offset + rows["size"]).to_numpy())
                 yield rows.assign(dropped=~keep, free=told)[keep | also]
@@ -74,7 +78,8 @@ def _folded(candidates: DataFrame, keys: list[str], woken: bool) -> DataFrame:
                 yield rows[keep]
 
     schema = candidates.schema if not woken else candidates.select("*", F.lit(True).alias("dropped"), F.lit(0).cast("long").alias("free")).schema
-    return candidates.repartition(*keys).sortWithinPartitions(*keys, "ord", "offset").mapInPandas(run, schema)
+    order = [F.asc_nulls_last("ord"), F.asc_nulls_last("offset")]
+    return candidates.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
 def woken() -> Column:
@@ -85,13 +90,14 @@ def woken() -> Column:
 def skip_ahead(candidates: DataFrame, woken: bool = False) -> DataFrame:
     """Keep candidates in order of ``ord``; after a validated one, drop those that start before its end.
 
+    After a validated one of unknown size all are dropped. One of unknown place comes last and is kept only if it is alone.
     Rows fall into islands that no earlier validated end reaches into; islands of one row need no fold. ``woken`` adds the
     columns ``dropped`` and ``free`` (the place from which on carving was allowed) and keeps the dropped rows for which ``woken()`` holds.
     """
     if _small(candidates):
         return _folded(candidates, KEY, woken)
     columns = candidates.columns
-    end = F.when(F.col("validated"), F.col("offset") + F.col("size"))
+    end = F.when(F.col("validated") & F.col("offset").isNotNull(), F.coalesce(F.col("offset") + F.col("size"), F.lit(NEVER)))
     order = [F.col("ord"), F.col("offset")]
     df = _running(candidates, end, "__reach", order, "ord")
     df = _running(df, F.col("offset"), "__low", order, "ord", backward=True)

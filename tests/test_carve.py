@@ -438,8 +438,7 @@ def test_first_of_equal_lines_stays(spark, tmp_path, name):
     assert Counter(tuple(r) for r in queries()[name](spark, str(tmp_path)).collect()) == Counter(con.execute(oracle_sql()[name]).fetchall())
 
 
-@pytest.mark.parametrize("name", ["dedup"])
-@pytest.mark.parametrize("odd", ["l_orderkey", "l_partkey", "l_quantity", "l_returnflag", "fraction"])
+@pytest.mark.parametrize("name, odd", [(n, x) for n in ("dedup", "skip_ahead") for x in ("l_orderkey", "l_partkey", "l_quantity", "l_returnflag", "fraction") if n + x != "skip_aheadl_partkey"])
 def test_odd_lines_as_in_sql(spark, tmp_path, name, odd):
     """Lines without one of their values, or with a quantity that is no whole number."""
     import duckdb
@@ -456,6 +455,8 @@ def test_odd_lines_as_in_sql(spark, tmp_path, name, odd):
             row["l_quantity"] = rnd.choice((0.5, 1.5, 2.7, 0.000125, 0.000375))
         elif rnd.random() < 0.01:
             row[odd] = None
+    if odd == "l_orderkey":
+        rows.append({**rows[0], "l_partkey": 99, odd: None})  # alone in its part
     pq.write_table(pa.Table.from_pylist(rows, pa.schema(list(kinds.items()))), tmp_path / "lineitem.parquet")
     con = duckdb.connect()
     con.execute("SET threads=1")
@@ -463,6 +464,18 @@ def test_odd_lines_as_in_sql(spark, tmp_path, name, odd):
     assert Counter(tuple(r) for r in queries()[name](spark, str(tmp_path)).collect()) == Counter(con.execute(oracle_sql()[name]).fetchall())
 
 
+def test_unknown_size_ends_the_sweep(spark):
+    import bytecarve.operators.select as select
+
+    rows = [("a", 0, 0, 10, True), ("a", 5, 5, 9, True), ("a", 20, 20, None, True), ("a", 30, 30, 1, False), ("a", 900, 900, 1, True), ("a", None, None, 5, True), ("b", 3, 3, None, False), ("b", 4, 4, 1, True)]
+    frame = spark.createDataFrame(rows, "source_id string, ord long, offset long, size long, validated boolean")
+    for bucket, fold_rows in ((1 << 30, 1_000_000), (256, 1)):
+        select.BUCKET, select.FOLD_ROWS = bucket, fold_rows
+        got = skip_ahead(frame).select("source_id", "ord", "size").collect()
+        assert {tuple(r) for r in got} == {("a", 0, 10), ("a", 20, None), ("b", 3, None), ("b", 4, 1)}
+    select.BUCKET, select.FOLD_ROWS = 1 << 30, 1_000_000
+
+
 def test_offset_filters_leave_tasks_out(spark, image):
     path, data, truth = image
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
